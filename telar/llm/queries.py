@@ -12,6 +12,7 @@ from telar.llm.line_dedup import CHUNKS_SQL, dedup_chunks
 from telar.llm.mixing import POISSON_SQL, poisson_mix
 from telar.llm.packing import best_fit_pack
 from telar.llm.substring_dedup import LINES_SQL, dedup_units
+from telar.llm.token_ids import packed_tokens, tokenizer_file
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(read_table(spark, sf_dir, "documents"))
 
 
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_chunks(read_table(spark, sf_dir, "documents"))
 
@@ -35,5 +40,5 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_substring_dedup, op3_poisson_mixing, op6_line_dedup, op7_exact_dedup)}
+    op1_best_fit_packing, op2_substring_dedup, op3_poisson_mixing, op5_token_packing, op6_line_dedup, op7_exact_dedup)}
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": LINES_SQL, "op3_poisson_mixing": POISSON_SQL, "op6_line_dedup": CHUNKS_SQL, "op7_exact_dedup": OWNERS_SQL}
