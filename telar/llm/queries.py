@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from telar.llm._common import read_table
 from telar.llm.exact_dedup import OWNERS_SQL, exact_owners
+from telar.llm.katz import katz_scores
 from telar.llm.line_dedup import CHUNKS_SQL, dedup_chunks
 from telar.llm.mixing import POISSON_SQL, poisson_mix
 from telar.llm.packing import best_fit_pack
+from telar.llm.search import TOP_K_SQL, top_k
 from telar.llm.substring_dedup import LINES_SQL, dedup_units
 from telar.llm.token_ids import packed_tokens, tokenizer_file
 
@@ -39,6 +41,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_owners(read_table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op9_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_substring_dedup, op3_poisson_mixing, op5_token_packing, op6_line_dedup, op7_exact_dedup)}
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": LINES_SQL, "op3_poisson_mixing": POISSON_SQL, "op6_line_dedup": CHUNKS_SQL, "op7_exact_dedup": OWNERS_SQL}
+    op1_best_fit_packing, op2_substring_dedup, op3_poisson_mixing, op5_token_packing, op6_line_dedup, op7_exact_dedup, op8_exact_top_k, op9_katz_scoring)}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": LINES_SQL, "op3_poisson_mixing": POISSON_SQL, "op6_line_dedup": CHUNKS_SQL, "op7_exact_dedup": OWNERS_SQL, "op8_exact_top_k": TOP_K_SQL}
