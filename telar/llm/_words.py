@@ -107,9 +107,9 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.nda
         if b - a >= n:
             yield g[a : b - n + 1]
         elif b > a:
-            h = np.uint64(b - a)
+            h = np.array([b - a], np.uint64)
             for i in range(b - a):
-                h = h + words[a + i] * odd[i]
-            yield mix(np.array([h], np.uint64))
+                h += words[a + i : a + i + 1] * odd[i]
+            yield mix(h)
         else:
             yield g[:0]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from telar.llm._common import read_table
 from telar.llm.exact_dedup import OWNERS_SQL, exact_owners
+from telar.llm.jaccard_join import PAIRS_SQL, jaccard_pairs
 from telar.llm.katz import katz_scores
 from telar.llm.line_dedup import CHUNKS_SQL, dedup_chunks
 from telar.llm.mixing import POISSON_SQL, poisson_mix
@@ -29,6 +30,10 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(read_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_pairs(read_table(spark, sf_dir, "documents"), n=2, threshold=0.6)
+
+
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -50,5 +55,5 @@ def op9_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_substring_dedup, op3_poisson_mixing, op5_token_packing, op6_line_dedup, op7_exact_dedup, op8_exact_top_k, op9_katz_scoring)}
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": LINES_SQL, "op3_poisson_mixing": POISSON_SQL, "op6_line_dedup": CHUNKS_SQL, "op7_exact_dedup": OWNERS_SQL, "op8_exact_top_k": TOP_K_SQL}
+    op1_best_fit_packing, op2_substring_dedup, op3_poisson_mixing, op4_ngram_jaccard_join, op5_token_packing, op6_line_dedup, op7_exact_dedup, op8_exact_top_k, op9_katz_scoring)}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": LINES_SQL, "op3_poisson_mixing": POISSON_SQL, "op4_ngram_jaccard_join": PAIRS_SQL, "op6_line_dedup": CHUNKS_SQL, "op7_exact_dedup": OWNERS_SQL, "op8_exact_top_k": TOP_K_SQL}
