@@ -16,6 +16,7 @@ from telar.llm.packing import best_fit_pack
 from telar.llm.search import TOP_K_SQL, top_k
 from telar.llm.substring_dedup import LINES_SQL, dedup_units
 from telar.llm.token_ids import packed_tokens, tokenizer_file
+from telar.llm.toxicity import toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op9_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_substring_dedup, op3_poisson_mixing, op4_ngram_jaccard_join, op5_token_packing, op6_line_dedup, op7_exact_dedup, op8_exact_top_k, op9_katz_scoring)}
+    op1_best_fit_packing, op2_substring_dedup, op3_poisson_mixing, op4_ngram_jaccard_join, op5_token_packing, op6_line_dedup, op7_exact_dedup, op8_exact_top_k, op9_katz_scoring, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": LINES_SQL, "op3_poisson_mixing": POISSON_SQL, "op4_ngram_jaccard_join": PAIRS_SQL, "op6_line_dedup": CHUNKS_SQL, "op7_exact_dedup": OWNERS_SQL, "op8_exact_top_k": TOP_K_SQL}
