@@ -23,6 +23,8 @@ CLEAN = 2000
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
 _SOLID = ~_SPACE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 #: What may be inserted in a word besides letters.
 _MARKS = re.compile(r"[^\w^$]|_")
 _SENTENCE = re.compile(r"[.!?]+(?=\s)|\n")
@@ -335,78 +337,98 @@ def _bend(raw: list[bytes]) -> tuple[list[str], np.ndarray]:
 _known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _group(column: pa.Array, size: int) -> Iterator[tuple[int, int, list]]:
-    held, first, n = [], 0, 0
-    for a, b, data, offsets in chunks(column):
-        held.append((a, data, offsets))
+def _group(column: pa.Array, size: int) -> Iterator[list]:
+    held, n = [], 0
+    for a, _, data, offsets in chunks(column):
+        held.append((a, _LOWER[data], offsets))
         n += len(data)
         if n > size:
-            yield first, b, held
-            held, first, n = [], b, 0
+            yield held
+            held, n = [], 0
     if held:
-        yield first, len(column), held
+        yield held
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model | None:
+    chosen = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # at most `sample` rows, so that they may be sent to all
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic").orderBy("doc_id", "text").limit(2 * sample).collect()
+    return train([r["text"] for r in rows], [int(r["_toxic"] > 0) for r in rows])
+
+
+def _judge(model: Model | None, name: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of units and of toxic units of each text, and whether it is toxic."""
+    n, toxic = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    if model is None:
+        return n, toxic, toxic > 0
+    if name not in _known:
+        _known.clear()
+        _known[name] = (np.zeros(0, np.uint64), np.zeros(0, bool))
+    for group in _group(texts, 4 << 20):
+        hashes, owners, places = [], [], []
+        for g, (a, data, offsets) in enumerate(group):
+            s, e, owner = units(data, offsets)
+            hashes.append(hash_spans(data, s, e))
+            owners.append(owner + a)
+            places.append(np.column_stack([np.full(len(s), g), s, e]))
+        h, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
+        if not len(h):
+            continue
+        order = np.argsort(h, kind="stable")
+        new = np.append(True, h[order][1:] != h[order][:-1])
+        mine, number = h[order][new], np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
+        known, verdict = _known[name]
+        at = np.searchsorted(known, mine)
+        have = known[np.minimum(at, len(known) - 1)] == mine if len(known) else np.zeros(len(mine), bool)
+        bad = np.zeros(len(mine), bool)
+        bad[have] = verdict[at[have]]
+        miss = np.flatnonzero(~have)
+        if len(miss):
+            raw = [group[g][1][i:j].tobytes() for g, i, j in place[order[np.flatnonzero(new)[miss]]].tolist()]
+            bad[miss] = model.scores(raw) > 0
+            if len(known) > 1_500_000:
+                known, verdict = mine, bad
+            else:
+                at = np.searchsorted(known, mine[miss])
+                known, verdict = np.insert(known, at, mine[miss]), np.insert(verdict, at, bad[miss])
+            _known[name] = (known, verdict)
+        n += np.bincount(owner, minlength=len(n))
+        toxic += np.bincount(owner[bad[number]], minlength=len(n))
+    return n, toxic, (toxic >= model.count) & (toxic >= model.share * n) & (toxic > 0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
     """docs' (doc_id, n_units, n_toxic, toxic) for every row: how many units, how many of them score as toxic, verdict 0 or 1.
 
-    The machine is fitted on the driver to the texts of at most `sample` labelled documents (doc_id, toxic), those with the smallest hashed
-    doc_id; everything else reads all texts whole. Each distinct unit of some megabytes of text is scored once, and a
-    document is toxic where the number and the share of its toxic units reach what was learned.
+    The machine is fitted on the driver to the texts of at most `sample` labelled documents (doc_id, toxic), those with
+    the smallest hashed doc_id; everything else reads all texts whole. Each distinct unit of some megabytes of text is
+    scored once, and a document is toxic where the number and the share of its toxic units reach what was learned.
 
     Null and empty texts have no unit and are not toxic. Rows with the same doc_id are judged one by one. Without labels
-    of both classes nothing is toxic. Labels that are null or belong to no document are not used; a doc_id labelled twice is toxic
-    if one label says so. An empty table gives an empty result. Other columns are left out.
+    of both classes nothing is toxic. Labels that are null or belong to no document are not used; a doc_id labelled
+    twice is toxic if one label says so. An empty table gives an empty result. Other columns are left out.
     """
-    chosen = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most `sample` rows, so that they may be sent to all
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic").orderBy("doc_id", "text").limit(2 * sample).collect()
-    fitted = train([r["text"] for r in rows], [int(r["_toxic"] > 0) for r in rows])
-    model = docs.sparkSession.sparkContext.broadcast(fitted)
-
+    model = docs.sparkSession.sparkContext.broadcast(_fit(docs, labels, sample))
     name = uuid.uuid4().hex
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = model.value
-        if name not in _known:
-            _known.clear()
-            _known[name] = (np.zeros(0, np.uint64), np.zeros(0, bool))
         for b in batches:
-            n, toxic = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for _, _, group in _group(b.column("text"), 4 << 20) if machine is not None else ():
-                hashes, owners, places = [], [], []
-                for g, (a, data, offsets) in enumerate(group):
-                    s, e, owner = units(data, offsets)
-                    hashes.append(hash_spans(data, s, e))
-                    owners.append(owner + a)
-                    places.append(np.column_stack([np.full(len(s), g), s, e]))
-                h, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
-                if not len(h):
-                    continue
-                order = np.argsort(h, kind="stable")
-                new = np.append(True, h[order][1:] != h[order][:-1])
-                mine, number = h[order][new], np.empty(len(h), np.int64)
-                number[order] = np.cumsum(new) - 1
-                known, verdict = _known[name]
-                at = np.searchsorted(known, mine)
-                have = known[np.minimum(at, len(known) - 1)] == mine if len(known) else np.zeros(len(mine), bool)
-                bad = np.zeros(len(mine), bool)
-                bad[have] = verdict[at[have]]
-                miss = np.flatnonzero(~have)
-                if len(miss):
-                    raw = [group[g][1][i:j].tobytes() for g, i, j in place[order[np.flatnonzero(new)[miss]]].tolist()]
-                    bad[miss] = machine.scores(raw) > 0
-                    if len(known) > 1_500_000:
-                        known, verdict = mine, bad
-                    else:
-                        at = np.searchsorted(known, mine[miss])
-                        known, verdict = np.insert(known, at, mine[miss]), np.insert(verdict, at, bad[miss])
-                    _known[name] = (known, verdict)
-                n += np.bincount(owner, minlength=len(n))
-                toxic += np.bincount(owner[bad[number]], minlength=len(n))
-            said = (toxic >= machine.count) & (toxic >= machine.share * n) & (toxic > 0) if machine is not None else toxic > 0
+            n, toxic, said = _judge(model.value, name, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(toxic), pa.array(said.astype(np.int32))], names=["doc_id", "n_units", "n_toxic", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(judge, f"doc_id {kind}, n_units long, n_toxic long, toxic int")
+    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_units long, n_toxic long, toxic int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
+    """The rows of docs, all their columns, that toxicity does not find toxic; one pass, no shuffle of texts."""
+    model = docs.sparkSession.sparkContext.broadcast(_fit(docs, labels, sample))
+    name = uuid.uuid4().hex
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~_judge(model.value, name, b.column("text"))[2]))
+
+    return docs.mapInArrow(keep, docs.schema)
