@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,23 +17,56 @@ from telar.llm._common import grouped, materialize
 from telar.llm._words import chunks, gram_hashes, hash_spans, mix, spans
 from telar.llm.components import components, forest
 
-#: Counters of the sketch of document frequencies, from which the order of n-grams comes.
-SKETCH_BITS = 21
-#: Prefix n-grams are exchanged in so many parts.
-PARTS = 512
+#: Counters of the sketches of words and of n-grams.
+WORD_BITS, GRAM_BITS = 21, 23
+#: Prefix n-grams that a part of their exchange has, about.
+PART = 1 << 22
+#: N-grams of more sets than this link them by a star, others by pairs.
+HOT = 64
 #: Bytes of a Bloom filter of candidates that may be broadcast; beyond, all sets are exchanged.
 BLOOM_LIMIT = 8 << 20
 #: N-grams of the sets that a task compares with as many others.
 BLOCK = 1_000_000
 
 
-def _gram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """Distinct n-gram hashes of each text, sorted."""
-    for _, _, data, offsets in chunks(column):
-        s, e, first = spans(data, offsets)
-        for g in gram_hashes(hash_spans(data, s, e), first, n):
-            g = np.sort(g)
-            yield g[np.append(True, g[1:] != g[:-1])] if len(g) else g
+def _distinct(g: np.ndarray) -> np.ndarray:
+    g = np.sort(g)
+    return g[np.append(True, g[1:] != g[:-1])] if len(g) else g
+
+
+class Order:
+    """A total order of n-grams, the rare first, the same in every document.
+
+    An n-gram's frequency is expected from those of its words as if they met by chance; where a sketch of n-grams counts
+    well more than its counters' mean, as for a passage that many documents share, that count holds if it is larger.
+    """
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray, n: int) -> None:
+        self.tokens = max(1, int(words.sum()))
+        self.n = n
+        # in fifths of a power of two
+        self.word = np.round(-5 * np.log2(np.maximum(words, 1) / self.tokens)).clip(0, 255).astype(np.uint8)
+        above = grams - 2 * grams.mean(dtype=np.float64)
+        self.gram = np.where(above > 0, np.round(5 * np.log2(np.maximum(above, 1)) + 100).clip(0, 255), 0).astype(np.uint8)
+        self.total = int(round(5 * np.log2(self.tokens)))
+
+    def keys(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The distinct n-grams of each text, as numbers that follow the order."""
+        n, low = self.n, np.uint64((1 << 56) - 1)
+        for _, _, data, offsets in chunks(column):
+            s, e, first = spans(data, offsets)
+            h = hash_spans(data, s, e)
+            by_word = self.word[(h >> np.uint64(64 - WORD_BITS)).astype(np.int64)].astype(np.int32)
+            for (a, b), g in zip(zip(first[:-1].tolist(), first[1:].tolist()), gram_hashes(h, first, n)):
+                if not len(g):
+                    yield g
+                    continue
+                m = min(n, b - a)
+                chance = self.total - by_word[a : b - m + 1]
+                for i in range(1, m):
+                    chance -= by_word[a + i : b - m + 1 + i]
+                rank = np.maximum(chance + 100, self.gram[(g >> np.uint64(64 - GRAM_BITS)).astype(np.int64)]).clip(0, 255).astype(np.uint64)
+                yield _distinct(rank << np.uint64(56) | g & low)
 
 
 def _prefix(size: int, t: float) -> int:
@@ -39,42 +74,50 @@ def _prefix(size: int, t: float) -> int:
     return size - math.ceil(t * size - 1e-9) + 1 if size else 0
 
 
-def _sketch(texts: DataFrame, n: int) -> np.ndarray:
-    """Rarity class of each counter: sixteen times the logarithm of the document frequency that falls on it."""
-    width, slices = 1 << SKETCH_BITS, 64
+def _sketch(texts: DataFrame, n: int) -> Order:
+    """Counts of words and of n-grams in tables of fixed size, over all texts."""
+    slice_bits = 15
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(width, np.uint32), [], 0
+        total = [np.zeros(1 << bits, np.uint32) for bits in (WORD_BITS, GRAM_BITS)]
+        held, size = ([], []), 0
+
+        def add_up() -> None:
+            for t, x in zip(total, held):
+                at = np.sort(np.concatenate(x))
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+                t[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
+                x.clear()
+
         for b in batches:
-            for g in _gram_sets(b.column(0), n):
-                held.append((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-                size += len(g)
+            for _, _, data, offsets in chunks(b.column(0)):
+                s, e, first = spans(data, offsets)
+                h = hash_spans(data, s, e)
+                held[0].append((h >> np.uint64(64 - WORD_BITS)).astype(np.int32))
+                held[1].append((np.concatenate([np.zeros(0, np.uint64), *map(_distinct, gram_hashes(h, first, n))]) >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
+                size += len(h)
                 if size > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=width).astype(np.uint32)
-                    held, size = [], 0
+                    add_up()
+                    size = 0
         if size:
-            total += np.bincount(np.concatenate(held), minlength=width).astype(np.uint32)
-        kind, top = (np.uint16, 65535) if total.max(initial=0) < 65536 else (np.uint32, 2**32 - 1)
-        for i, part in enumerate(total.reshape(slices, -1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(kind).tobytes()])], names=["slice", "counts"])
+            add_up()
+        for kind, counts in enumerate(total):
+            for i, part in enumerate(counts.reshape(-1, 1 << slice_bits)):
+                if part.any():
+                    wide = next(w for w in (np.uint8, np.uint16, np.uint32) if part.max() <= np.iinfo(w).max)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind << 20 | i], pa.int32()), pa.array([part.astype(wide).tobytes()])], names=["slice", "counts"])
 
     def add(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width // slices, np.int64)
+        total = np.zeros(1 << slice_bits, np.int64)
         for x in table["counts"].to_pylist():
-            total += np.frombuffer(x, np.uint16 if len(x) == 2 * len(total) else np.uint32)
-        rank = np.minimum(255, np.round(16 * np.log2(total + 1.0) / 2)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([table["slice"].combine_chunks().slice(0, 1), pa.array([rank.tobytes()])], names=["slice", "counts"])
+            total += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) >> slice_bits])
+        yield pa.RecordBatch.from_arrays([table["slice"].combine_chunks().slice(0, 1), pa.array([total.astype(np.float32).tobytes()])], names=["slice", "counts"])
 
     kind = "slice int, counts binary"
-    rows = sorted(grouped(texts.select("text").mapInArrow(count, kind), ["slice"], add, kind).collect())
-    return np.frombuffer(b"".join(r[1] for r in rows) or bytes(width), np.uint8)
-
-
-def _ordered(g: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The set by rarity class, then hash: a number for each n-gram whose order is the same in every document."""
-    key = rank[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | g & np.uint64((1 << 56) - 1)
-    key.sort()
-    return key
+    found = [np.zeros(1 << bits, np.float32) for bits in (WORD_BITS, GRAM_BITS)]
+    for at, counts in grouped(texts.select("text").mapInArrow(count, kind), ["slice"], add, kind).toLocalIterator():
+        found[at >> 20].reshape(-1, 1 << slice_bits)[at & (1 << 20) - 1] = np.frombuffer(counts, np.float32)
+    return Order(found[0], found[1], n)
 
 
 def _signature(key: np.ndarray) -> int:
@@ -174,16 +217,38 @@ def _similar(sets: list[np.ndarray], t: float, split: int | None = None) -> Iter
             yield order[x], np.array([order[v] for v in ys[good].tolist()]), j[good]
 
 
-def _candidates(texts: DataFrame, n: int, t: float, rank: Column) -> DataFrame:
-    """(sig, comp): the sets that share a prefix n-gram with another, and their connected components."""
+def _packed(part: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+    """The rows of each part, column by column."""
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for q in np.flatnonzero(np.diff(cut)).tolist():
+        rows = order[cut[q] : cut[q + 1]]
+        yield q, [c[rows].tobytes() for c in columns]
+
+
+def _needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
+    """How many prefix n-grams two sets of these sizes share at least, if they are similar.
+
+    Their common n-grams up to where the first prefix ends are in both prefixes; the others are in what follows it.
+    """
+    rest = [x - (x - np.ceil(t * x - 1e-9) + 1) for x in (n, m)]
+    return np.maximum(1, np.ceil(t / (1 + t) * (n + m) - 1e-9) - np.maximum(*rest))
+
+
+def _candidates(texts: DataFrame, t: float, rank: Broadcast) -> DataFrame:
+    """(sig, comp): the sets that may be similar to another, and the connected components of those that may be.
+
+    Sets that share an n-gram of their prefixes are linked if so many of these as a similar pair needs are shared, or if
+    one of them is shared by more than HOT sets, whose pairs are not listed.
+    """
+    parts = max(16, rank.value.tokens // PART)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = rank.value
+        order_of = rank.value
         for b in batches:
-            held, sigs, counts, size, seen = [], [], [], 0, set()
-            for row in [*_gram_sets(b.column(0), n), None]:
-                if row is not None and len(row):
-                    key = _ordered(row, classes)
+            held, sigs, sizes, counts, size, seen = [], [], [], [], 0, set()
+            for key in chain(order_of.keys(b.column(0)), [None]):
+                if key is not None and len(key):
                     sig = _signature(key)
                     # every document posts its signature, and each set its prefix, once in a task
                     posts = [np.array([sig], np.uint64)]
@@ -192,47 +257,86 @@ def _candidates(texts: DataFrame, n: int, t: float, rank: Column) -> DataFrame:
                         posts.append(key[: _prefix(len(key), t)])
                     held += posts
                     sigs.append(sig)
+                    sizes.append(len(key))
                     counts.append(sum(map(len, posts)))
                     size += counts[-1]
-                if held and (row is None or size > 1_000_000):
+                if held and (key is None or size > 1_000_000):
                     token = mix(np.concatenate(held))
-                    which = np.repeat(np.arange(len(sigs)), counts)
-                    part = (token % np.uint64(PARTS)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    part, token, which = part[order], (token[order] >> np.uint64(32)).astype("<u4"), which[order]
-                    cut = np.searchsorted(part, np.arange(PARTS + 1))
-                    own = np.array(sigs, np.int64)
-                    there = np.flatnonzero(np.diff(cut)).tolist()
-                    tokens, owners, runs = [], [], []
-                    for q in there:
-                        w = which[cut[q] : cut[q + 1]]
+                    part = (token % np.uint64(parts)).astype(np.int64)
+                    own, n = np.array(sigs, "<i8"), np.array(sizes, "<u4")
+                    rows = []
+                    for q, (tokens, which) in _packed(part, parts, [(token >> np.uint64(32)).astype("<u4"), np.repeat(np.arange(len(sigs)), counts)]):
+                        w = np.frombuffer(which, np.int64)
                         f = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                        tokens.append(token[cut[q] : cut[q + 1]].tobytes())
-                        owners.append(own[w[f]].astype("<i8").tobytes())
-                        runs.append(np.diff(np.append(f, len(w))).astype("<u4").tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(tokens), pa.array(owners), pa.array(runs)], names=["part", "tokens", "sigs", "counts"])
-                    held, sigs, counts, size = [], [], [], 0
+                        rows.append((q, tokens, own[w[f]].tobytes(), n[w[f]].tobytes(), np.diff(np.append(f, len(w))).astype("<u4").tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["part", "tokens", "sigs", "sizes", "counts"])
+                    held, sigs, sizes, counts, size = [], [], [], [], 0
+
+    def whole(table: pa.Table, column: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(table[column].to_pylist()), kind)
 
     def link(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate([np.frombuffer(x, "<u4") for x in table["tokens"].to_pylist()])
-        sig = np.concatenate([np.repeat(np.frombuffer(s, "<i8"), np.frombuffer(c, "<u4")) for s, c in zip(table["sigs"].to_pylist(), table["counts"].to_pylist())])
-        order = np.lexsort((sig, token))
-        token, sig = token[order], sig[order]
-        new = np.append(True, token[1:] != token[:-1])
-        least = sig[np.flatnonzero(new)][np.cumsum(new) - 1]
-        other = sig != least
-        a, b = forest(sig[other], least[other])
+        token, runs = whole(table, "tokens", "<u4"), whole(table, "counts", "<u4")
+        sig, n = np.repeat(whole(table, "sigs", "<i8"), runs), np.repeat(whole(table, "sizes", "<u4"), runs)
+        # n-grams of one set alone are most, and go first
+        order = np.argsort(token, kind="stable")
+        new = np.append(True, token[order][1:] != token[order][:-1])
+        alone = new & np.append(new[1:], True)
+        order = order[~alone]
+        order = order[np.lexsort((sig[order], token[order]))]
+        token, sig, n = token[order], sig[order], n[order].astype(np.int64)
+        again = np.append(False, (token[1:] == token[:-1]) & (sig[1:] == sig[:-1])) if len(token) else np.zeros(0, bool)
         # a signature posted twice is a loop: a set of several documents, which may have no other link
-        again = sig[1:][(sig[1:] == sig[:-1]) & ~new[1:] & (token[1:] == (mix(sig[1:].astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))]
-        loops = np.unique(again)
+        loops = np.unique(sig[again & (token == (mix(sig.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))])
+        token, sig, n = token[~again], sig[~again], n[~again]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        length = np.diff(np.append(first, len(token)))
+        run, long = np.repeat(np.arange(len(first)), length), np.repeat(length, length)
+        hot = long > HOT
+        least = np.repeat(sig[first], length)
+        a, b = forest(sig[hot], least[hot])
         a, b = np.concatenate([a, loops]), np.concatenate([b, loops])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    posted = texts.select("text").mapInArrow(emit, "part int, tokens binary, sigs binary, counts binary")
-    edges = materialize(grouped(posted, ["part"], link, "a long, b long"))
-    linked = components(edges).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
-    alone = edges.filter("a = b").select(F.col("a").alias("sig"), F.col("a").alias("comp")).join(linked, "sig", "left_anti")
-    return materialize(linked.union(alone))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([x.astype("<i8").tobytes()]) for x in (a, b)], pa.array([b""]), pa.array([b""])], names=["part", "a", "b", "counts", "sizes"])
+        run, sig, n = run[~hot], sig[~hot], n[~hot]
+        pairs = []
+        for d in range(1, HOT):
+            i = np.flatnonzero(run[d:] == run[:-d])
+            if not len(i):
+                break
+            i = i[np.minimum(n[i], n[i + d]) >= t * np.maximum(n[i], n[i + d]) - 1e-9]
+            pairs.append(np.column_stack([sig[i], sig[i + d], n[i], n[i + d]]))
+        if not pairs:
+            return
+        pairs = np.concatenate(pairs)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        first = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))) if len(pairs) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(pairs)))
+        pairs = pairs[first]
+        part = (mix(pairs[:, 0].astype(np.uint64) * np.uint64(3) + pairs[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        rows = [(q, *x) for q, x in _packed(part, parts, [pairs[:, 0].astype("<i8"), pairs[:, 1].astype("<i8"), count.astype("<u4"), pairs[:, 2:].astype("<u4")])]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["part", "a", "b", "counts", "sizes"])
+
+    def keep(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = whole(table, "a", "<i8"), whole(table, "b", "<i8")
+        if table["part"][0].as_py() >= 0:
+            count, n = whole(table, "counts", "<u4").astype(np.int64), whole(table, "sizes", "<u4").reshape(-1, 2).astype(np.int64)
+            order = np.lexsort((b, a))
+            a, b, count, n = a[order], b[order], count[order], n[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            good = np.add.reduceat(count, first) >= _needed(n[first, 0], n[first, 1], t)
+            a, b = a[first][good], b[first][good]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    posted = texts.select("text").mapInArrow(emit, "part int, tokens binary, sigs binary, sizes binary, counts binary")
+    linked = grouped(posted, ["part"], link, "part int, a binary, b binary, counts binary, sizes binary")
+    # stars need no counting, and stay spread
+    spread = F.when(F.col("part") < 0, F.lit(-1) - F.pmod(F.xxhash64("a"), F.lit(1024)).cast("int")).otherwise(F.col("part"))
+    edges = materialize(grouped(linked.withColumn("part", spread), ["part"], keep, "a long, b long"))
+    joined = components(edges).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
+    alone = edges.filter("a = b").select(F.col("a").alias("sig"), F.col("a").alias("comp")).distinct().join(joined, "sig", "left_anti")
+    return materialize(joined.union(alone))
 
 
 def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
@@ -240,7 +344,7 @@ def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).filter("doc_id is not null and text is not null")
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(_sketch(texts, n))
-    comps = _candidates(texts, n, t, rank)
+    comps = _candidates(texts, t, rank)
     count = comps.count()
     bloom = None
     if count * 12 / 8 * 2 <= BLOOM_LIMIT:
@@ -248,7 +352,7 @@ def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
         bloom = spark.sparkContext.broadcast(_Bloom(values))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, filter_ = rank.value, bloom.value if bloom is not None else None
+        order_of, filter_ = rank.value, bloom.value if bloom is not None else None
         for b in batches:
             ids, out, size, seen = b.column("doc_id").to_pylist(), [], 0, set()
 
@@ -263,9 +367,8 @@ def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "sig", "n", "keys"])
 
-            for d, g in zip(ids, _gram_sets(b.column("text"), n)):
-                if len(g):
-                    key = _ordered(g, classes)
+            for d, key in zip(ids, order_of.keys(b.column("text"))):
+                if len(key):
                     out.append((d, _signature(key), key))
                     size += len(key)
                 if size > 1_000_000:
@@ -274,23 +377,23 @@ def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
             if out:
                 yield from flush()
 
-    sets = materialize(texts.mapInArrow(gather, "doc_id long, sig long, n long, keys binary").join(comps, "sig"))
-    within = Window.partitionBy("comp").orderBy("n", "sig", F.col("keys").isNull(), "doc_id")
-    # a document without its own copy of the set stands for the n-grams of its place only
-    weight = F.when(F.col("keys").isNull(), F.lit(1).cast("long")).otherwise(F.col("n"))
-    blocked = sets.withColumn("_b", (F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1)) / BLOCK).cast("int")).fillna(0, ["_b"])
-    # equal sets stay in one block, with the row that has the set
-    return _paired(blocked.withColumn("_b", F.min("_b").over(Window.partitionBy("comp", "sig"))), t)
+    # the sets are moved twice, to their rows' blocks and to the blocks' pairs; where they go is worked out without them
+    sets = materialize(texts.mapInArrow(gather, "doc_id long, sig long, n long, keys binary"))
+    weight = F.count("*") + F.sum(F.when(F.col("keys").isNotNull(), F.col("n")).otherwise(0))
+    each = sets.join(comps, "sig").groupBy("comp", "sig").agg(F.max("n").alias("n"), weight.alias("_w"))
+    within = Window.partitionBy("comp").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = materialize(each.withColumn("_b", F.coalesce(F.sum("_w").over(within) / BLOCK, F.lit(0.0)).cast("int")))
+    return sets.join(_paired(blocked, t), "sig").select("comp", "bi", "bj", "side", "doc_id", "sig", "keys")
 
 
 def _paired(blocked: DataFrame, t: float) -> DataFrame:
-    """Rows with the blocks' pairs: of each component, those pairs of blocks whose lengths can be similar."""
+    """(sig, comp, bi, bj, side): where each set goes: of each component, those pairs of blocks whose lengths can be similar."""
     ranges = blocked.groupBy("comp", "_b").agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
     left = ranges.select("comp", F.col("_b").alias("bi"), F.col("_high").alias("_hi"))
     right = ranges.select("comp", F.col("_b").alias("bj"), F.col("_low").alias("_lj"))
     pairs = left.join(right, "comp").filter((F.col("bi") <= F.col("bj")) & ((F.col("bi") == F.col("bj")) | (F.col("_hi") >= F.col("_lj") * t - 1e-9))).select("comp", "bi", "bj")
     sides = pairs.select("comp", "bi", "bj", F.col("bi").alias("_b"), F.lit(0).alias("side")).union(pairs.filter("bi < bj").select("comp", "bi", "bj", F.col("bj"), F.lit(1)))
-    return blocked.join(sides, ["comp", "_b"]).select("comp", "bi", "bj", "side", "doc_id", "sig", "keys")
+    return blocked.select("comp", "sig", "_b").join(sides, ["comp", "_b"]).select("sig", "comp", "bi", "bj", "side")
 
 
 def _members(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], int]:
@@ -312,16 +415,17 @@ def _members(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], int]:
     return sets, ids, int((side[order][cut] == 0).sum())
 
 
-def jaccard_pairs(docs: DataFrame, n: int = 2, threshold: float = 0.6) -> DataFrame:
+def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of documents whose sets of word n-grams are that similar.
 
     Words are lower-cased runs of letters, digits and characters outside ASCII; all the words of a text of fewer than n
     are one n-gram. Similarity is Jaccard's, of sets, at least `threshold`.
 
-    1. A sketch of fixed size counts the n-grams' document frequencies over all texts; its classes order n-grams, the
-       rare first.
-    2. Of each distinct set the prefix that any similar set must meet is posted, in parts by n-gram. Sets that share a
-       prefix n-gram are linked, and links make connected components: no similar pair lies across two.
+    1. Sketches of fixed size count words and n-grams over all texts; from them follows an order of n-grams, the rare
+       first, which any document can compute for its own.
+    2. Of each distinct set the prefix that any similar set must meet is posted, in parts by n-gram. Sets whose prefixes
+       share as many n-grams as their lengths require are linked, and links make connected components: no similar pair
+       lies across two.
     3. The sets of the components are brought together, large components in blocks by length, and pairs of blocks whose
        lengths differ too much are left out. Within, prefixes are joined again in the exact order of rarity there, with
        length, positional and suffix filters, and each pair left is verified once, by exact intersection.
@@ -371,7 +475,7 @@ def jaccard_pairs(docs: DataFrame, n: int = 2, threshold: float = 0.6) -> DataFr
     return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 2, threshold: float = 0.6) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """(doc_id, owner_id): every document that is connected by similar pairs with one of smaller doc_id, and the smallest.
 
     Pairs are those of jaccard_pairs, with its treatment of nulls; they are not listed but joined into groups where they
@@ -396,9 +500,9 @@ def near_duplicates(docs: DataFrame, n: int = 2, threshold: float = 0.6) -> Data
 
 PAIRS_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS words FROM documents),
-g AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 2 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE words END) AS gram FROM w),
+g AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS gram FROM w),
 s AS (SELECT DISTINCT doc_id, gram FROM g),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared / (x.n + y.n - shared) >= 0.6 - 1e-12
+SELECT doc_a, doc_b, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared / (x.n + y.n - shared) >= 0.5 - 1e-12
 """

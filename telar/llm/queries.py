@@ -32,7 +32,7 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(read_table(spark, sf_dir, "documents"), n=2, threshold=0.6)
+    return jaccard_pairs(read_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ def words(text):
     return re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
 
 
-def brute(rows, n=2, t=0.6):
+def brute(rows, n=3, t=0.5):
     sets = []
     for d, text in rows:
         w = words(text or "")
