@@ -19,12 +19,14 @@ from telar.llm.components import components, forest
 
 #: Counters of the sketches of words and of n-grams.
 WORD_BITS, GRAM_BITS = 21, 23
+#: Counters of a slice of a sketch.
+SLICE_BITS = 15
 #: Prefix n-grams that a part of their exchange has, about.
 PART = 1 << 22
 #: N-grams of more sets than this link them by a star, others by pairs.
 HOT = 64
 #: Bytes of a Bloom filter of candidates that may be broadcast; beyond, all sets are exchanged.
-BLOOM_LIMIT = 8 << 20
+BLOOM_LIMIT = 32 << 20
 #: N-grams of the sets that a task compares with as many others.
 BLOCK = 1_000_000
 
@@ -41,14 +43,23 @@ class Order:
     well more than its counters' mean, as for a passage that many documents share, that count holds if it is larger.
     """
 
-    def __init__(self, words: np.ndarray, grams: np.ndarray, n: int) -> None:
-        self.tokens = max(1, int(words.sum()))
+    def __init__(self, words: dict[int, bytes], grams: dict[int, bytes], n: int) -> None:
+        """words and grams: slices of the sketches' counts by number; slice by slice, as the whole would take the driver's memory."""
+        def total(slices: dict[int, bytes]) -> float:
+            return sum(float(np.frombuffer(x, np.float32).sum(dtype=np.float64)) for x in slices.values())
+
+        self.tokens = max(1, int(total(words)))
         self.n = n
-        # in fifths of a power of two
-        self.word = np.round(-5 * np.log2(np.maximum(words, 1) / self.tokens)).clip(0, 255).astype(np.uint8)
-        above = grams - 2 * grams.mean(dtype=np.float64)
-        self.gram = np.where(above > 0, np.round(5 * np.log2(np.maximum(above, 1)) + 100).clip(0, 255), 0).astype(np.uint8)
+        # in fifths of a power of two; words that were not met are as rare as those met once
         self.total = int(round(5 * np.log2(self.tokens)))
+        self.word = np.full(1 << WORD_BITS, min(255, self.total), np.uint8)
+        for i, x in words.items():
+            self.word[i << SLICE_BITS : i + 1 << SLICE_BITS] = np.round(5 * np.log2(self.tokens / np.maximum(np.frombuffer(x, np.float32), 1))).clip(0, 255)
+        twice = 2 * total(grams) / (1 << GRAM_BITS)
+        self.gram = np.zeros(1 << GRAM_BITS, np.uint8)
+        for i, x in grams.items():
+            above = np.frombuffer(x, np.float32) - twice
+            self.gram[i << SLICE_BITS : i + 1 << SLICE_BITS] = np.where(above > 0, np.round(5 * np.log2(np.maximum(above, 1)) + 100).clip(0, 255), 0)
 
     def keys(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The distinct n-grams of each text, as numbers that follow the order."""
@@ -76,8 +87,6 @@ def _prefix(size: int, t: float) -> int:
 
 def _sketch(texts: DataFrame, n: int) -> Order:
     """Counts of words and of n-grams in tables of fixed size, over all texts."""
-    slice_bits = 15
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(1 << bits, np.uint32) for bits in (WORD_BITS, GRAM_BITS)]
         held, size = ([], []), 0
@@ -102,22 +111,22 @@ def _sketch(texts: DataFrame, n: int) -> Order:
         if size:
             add_up()
         for kind, counts in enumerate(total):
-            for i, part in enumerate(counts.reshape(-1, 1 << slice_bits)):
+            for i, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
                 if part.any():
                     wide = next(w for w in (np.uint8, np.uint16, np.uint32) if part.max() <= np.iinfo(w).max)
                     yield pa.RecordBatch.from_arrays([pa.array([kind << 20 | i], pa.int32()), pa.array([part.astype(wide).tobytes()])], names=["slice", "counts"])
 
     def add(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << slice_bits, np.int64)
+        total = np.zeros(1 << SLICE_BITS, np.int64)
         for x in table["counts"].to_pylist():
-            total += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) >> slice_bits])
+            total += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) >> SLICE_BITS])
         yield pa.RecordBatch.from_arrays([table["slice"].combine_chunks().slice(0, 1), pa.array([total.astype(np.float32).tobytes()])], names=["slice", "counts"])
 
     kind = "slice int, counts binary"
-    found = [np.zeros(1 << bits, np.float32) for bits in (WORD_BITS, GRAM_BITS)]
+    found: tuple[dict, dict] = ({}, {})
     for at, counts in grouped(texts.select("text").mapInArrow(count, kind), ["slice"], add, kind).toLocalIterator():
-        found[at >> 20].reshape(-1, 1 << slice_bits)[at & (1 << 20) - 1] = np.frombuffer(counts, np.float32)
-    return Order(found[0], found[1], n)
+        found[at >> 20][at & (1 << 20) - 1] = bytes(counts)
+    return Order(*found, n)
 
 
 def _signature(key: np.ndarray) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections import Counter
@@ -155,15 +156,24 @@ class Model:
 
     def fit(self, features: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> None:
         """Squared hinge loss by Newton steps on the rows within the margin."""
-        x = np.column_stack([features @ self.map, np.ones(len(features))])
+        x = np.empty((len(features), self.map.shape[1] + 1), np.float32)
+        np.matmul(features, self.map.astype(np.float32), out=x[:, :-1])
+        x[:, -1] = 1
         w = np.zeros(x.shape[1])
         ridge = np.eye(len(w))
         ridge[-1, -1] = 1e-6
         for _ in range(30):
-            active = y * (x @ w) < 1
-            xa = x[active] * weight[active, None]
-            new = np.linalg.solve(ridge + c * xa.T @ x[active], c * xa.T @ y[active])
-            if np.allclose(new, w, atol=1e-8):
+            active = y * (x @ w.astype(np.float32)) < 1
+            gram, right = ridge.copy(), np.zeros(len(w))
+            rows = np.flatnonzero(active)
+            for a in range(0, len(rows), 20_000):
+                part = rows[a : a + 20_000]
+                xa = x[part].astype(np.float64)
+                heavy = xa.T * (c * weight[part])
+                gram += heavy @ xa
+                right += heavy @ y[part]
+            new = np.linalg.solve(gram, right)
+            if np.allclose(new, w, atol=1e-5):
                 break
             w = new
         self.weights, self.bias = w[:-1], w[-1]
@@ -229,7 +239,7 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     pieces that mark toxic texts, then twice by the machine itself.
     """
     sentences = [(i, x) for i, t in enumerate(texts) for x in _SENTENCE.split(t) if x]
-    found: list[set[bytes]] = [set() for _ in texts]
+    shared: dict[bytes, bytes] = {}
     occurrences: list[Counter] = [Counter() for _ in texts]
     column = pa.array([x for _, x in sentences], pa.string())
     for a, _, data, offsets in chunks(column):
@@ -237,17 +247,17 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
         for i, j, o in zip(s.tolist(), e.tolist(), owner.tolist()):
             t = sentences[a + o][0]
             u = _text(data[i:j].tobytes())[1:-1].encode()
-            found[t].add(u)
-            occurrences[t][u] += 1
+            occurrences[t][shared.setdefault(u, u)] += 1
+    del sentences, column, shared
     n_pos = sum(labels)
     n_neg = len(labels) - n_pos
     if not n_pos or not n_neg:
         return None
     in_pos, in_neg = Counter(), Counter()
-    for t, us in enumerate(found):
-        (in_pos if labels[t] else in_neg).update(us)
+    for t, us in enumerate(occurrences):
+        (in_pos if labels[t] else in_neg).update(us.keys())
 
-    def pieces(us: set[bytes]) -> set[str]:
+    def pieces(us: Counter) -> set[str]:
         out = set()
         for x in map(_text, us):
             for n in (4, 5, 6, 7, 8):
@@ -256,10 +266,10 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
 
     pos = Counter()
     for t in np.flatnonzero(labels).tolist():
-        pos.update(pieces(found[t]))
+        pos.update(pieces(occurrences[t]))
     pos = Counter({g: k for g, k in pos.items() if k > 1})
     neg, docs_of = Counter(), {g: set() for g in pos}
-    for t, us in enumerate(found):
+    for t, us in enumerate(occurrences):
         for g in pieces(us) & docs_of.keys():
             if labels[t]:
                 docs_of[g].add(t)
@@ -268,7 +278,6 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     chosen = _landmarks(pos, neg, n_pos, n_neg, docs_of)
     if not chosen:
         return None
-    del docs_of
     model = Model(chosen)
     every = sorted({*in_pos, *in_neg})
     odds = np.array([in_pos[u] / n_pos - 2 * in_neg[u] / n_neg for u in every])
@@ -278,6 +287,7 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     positive = marked & usable
     windows, owner = model.windows(every)
     k = model.kernel(windows)
+    del windows, pos, neg, docs_of
     for turn in range(3):
         if turn:
             score = np.full(len(every), -np.inf)
@@ -293,9 +303,8 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
         k_bent = model.kernel(bent)
         of = np.flatnonzero(positive)[of]
         use = weight[owner] > 0
-        features = np.concatenate([k[use], k_bent])
         y = np.concatenate([np.where(positive, 1.0, -1.0)[owner][use], np.ones(len(of))])
-        model.fit(features, y, np.concatenate([weight[owner][use], weight[of] / 20]))
+        model.fit(np.concatenate([k[use], k_bent]), y, np.concatenate([weight[owner][use], weight[of] / 20]))
         # at most one clean unit in CLEAN may score as toxic
         score = np.full(len(every), -np.inf)
         np.maximum.at(score, owner, k @ (model.map @ model.weights) + model.bias)
@@ -354,7 +363,10 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model | None:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` rows, so that they may be sent to all
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic").orderBy("doc_id", "text").limit(2 * sample).collect()
-    return train([r["text"] for r in rows], [int(r["_toxic"] > 0) for r in rows])
+    model = train([r["text"] for r in rows], [int(r["_toxic"] > 0) for r in rows])
+    del rows
+    gc.collect()
+    return model
 
 
 def _judge(model: Model | None, name: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -399,7 +411,7 @@ def _judge(model: Model | None, name: str, texts: pa.Array) -> tuple[np.ndarray,
     return n, toxic, (toxic >= model.count) & (toxic >= model.share * n) & (toxic > 0)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> DataFrame:
     """docs' (doc_id, n_units, n_toxic, toxic) for every row: how many units, how many of them score as toxic, verdict 0 or 1.
 
     The machine is fitted on the driver to the texts of at most `sample` labelled documents (doc_id, toxic), those with
@@ -422,7 +434,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_units long, n_toxic long, toxic int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> DataFrame:
     """The rows of docs, all their columns, that toxicity does not find toxic; one pass, no shuffle of texts."""
     model = docs.sparkSession.sparkContext.broadcast(_fit(docs, labels, sample))
     name = uuid.uuid4().hex
