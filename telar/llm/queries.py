@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from telar.llm._common import read_table
 from telar.llm.exact_dedup import OWNERS_SQL, exact_owners
 from telar.llm.jaccard_join import PAIRS_SQL, jaccard_pairs
-from telar.llm.katz import katz_scores
 from telar.llm.line_dedup import CHUNKS_SQL, dedup_chunks
 from telar.llm.mixing import POISSON_SQL, poisson_mix
 from telar.llm.packing import best_fit_pack
@@ -17,6 +16,7 @@ from telar.llm.search import TOP_K_SQL, top_k
 from telar.llm.substring_dedup import LINES_SQL, dedup_units
 from telar.llm.token_ids import packed_tokens, tokenizer_file
 from telar.llm.toxicity import toxicity
+from telar.llm.word_katz import word_katz_scores
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(read_table(spark, sf_dir, "documents"))
+    return word_katz_scores(read_table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
