@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telar.functions import english, qeqchi, spanish
 from telar.functions.text import annotation_tokens, clean_english, clean_kek, clean_spanish, fill, sentence_case, slots, tidy_marks
-from telar.operators.constraints import adjective_fits, enrich_nouns, has_slot, join_by_class, transitivity, verb_constraints
+from telar.operators.constraints import adjective_fits, enrich_nouns, has_slot, join_by_class, transitivity, valid_roles, verb_constraints
 from telar.operators.corpus import dedup, not_in_history
 from telar.operators.sampling import allocate, hashed
 
@@ -22,21 +22,25 @@ def _pool(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order]))).alias(name))
 
 
+#: Slots without a surface yet.
+UNRENDERED = r"^\{(NUM_)?(AGENT_NP|PRED_NP|POSS_NP|POSSESSUM_NP|OCCUPATION|NAME|PLACE|ADV|ADJ_COMP)(_[A-Z0-9_]+)?\}$"
+
+
 def render(templates: DataFrame, nouns: DataFrame, verbs: DataFrame, adjectives: DataFrame, numerals: DataFrame, total: int, seed: str = "render") -> DataFrame:
     """(template_id, draw, kek, en, es, values, template) of `total` draws: templates by weight, rows of the lexicons by hash.
 
     Compatible rows are worked out once for each verb or noun, in tables as small as the lexicons, and draws only look theirs up, so the
-    number of draws meets no shuffle. A draw that finds no compatible row is left out.
+    number of draws meets no shuffle. A draw that finds no compatible row is left out, and so are templates with slots of UNRENDERED.
     """
     # only what the templates name is worked out; they are a dimension
     wanted = {r[0][1:-1] for r in templates.select(F.explode(slots(F.concat_ws(" ", "kek", "en", "es")))).distinct().collect()}
     nouns = enrich_nouns(nouns)
     slim = ["id", "lemma_kek", "gloss_en", "gloss_en_f", "gloss_es", "gloss_es_f", "gender_es", "class", "countability_en", "countability_es", "has_color"]
     nouns = nouns.select(*slim)
-    limits = verb_constraints(verbs).select(*verbs.columns, "agent_allow", "agent_ban", "theme_allow", "theme_ban").withColumn("_tr", transitivity(F.col("transitivity")))
-    prefixed = {r: nouns.select(*[F.col(c).alias(f"{r}_{c}") for c in slim]) for r in ("agent", "theme")}
+    limits = verb_constraints(verbs).select(*verbs.columns, "agent_allow", "agent_ban", "theme_allow", "theme_ban", "goal_allow", "goal_ban").withColumn("_tr", transitivity(F.col("transitivity")))
+    prefixed = {r: nouns.select(*[F.col(c).alias(f"{r}_{c}") for c in slim]) for r in ("agent", "theme", "goal")}
     pools = {r: _pool(join_by_class(limits.select(F.col("id").alias("vid"), f"{r}_allow", f"{r}_ban"), prefixed[r], f"{r}_allow", f"{r}_ban", f"{r}_class").drop(f"{r}_allow", f"{r}_ban"), ["vid"], f"{r}_id", f"{r}s") for r in prefixed}
-    ready = limits.drop("agent_allow", "agent_ban", "theme_allow", "theme_ban").join(pools["agent"].withColumnRenamed("vid", "id"), "id").join(pools["theme"].withColumnRenamed("vid", "id"), "id")
+    ready = limits.join(pools["agent"].withColumnRenamed("vid", "id"), "id").join(pools["theme"].withColumnRenamed("vid", "id"), "id").join(pools["goal"].withColumnRenamed("vid", "id"), "id", "left")
     kinds = ready.withColumn("_kind", F.explode("_tr")).drop("_tr")
     verb_pool = _pool(kinds, ["_kind"], "id", "verbs")
     fits = adjectives.alias("a").join(nouns.alias("n"), adjective_fits()).select(F.col("n.id").alias("nid"), *[F.col(f"a.{c}").alias(f"adj_{c}") for c in ("id", "lemma_kek", "gloss_en", "gloss_es", "copula_es")])
@@ -53,22 +57,26 @@ def render(templates: DataFrame, nouns: DataFrame, verbs: DataFrame, adjectives:
             spanish.verb_bundle(prefix, F.col("gloss_es"), F.col("person"), F.lit("2sg"), wanted)).alias("forms"))
 
     bundles = forms("tr", "V_TR").unionByName(forms("intr", "V_INTR")).unionByName(forms("ditr", "V_DITR"))
-    marked = templates.withColumn("_tokens", slots(F.concat_ws(" ", "kek", "en", "es")))
+    marked = templates.withColumn("_tokens", slots(F.concat_ws(" ", "kek", "en", "es"))).filter(~F.exists("_tokens", lambda t: t.rlike(UNRENDERED)))
     kind = F.when(F.exists("_tokens", lambda t: t.startswith("{V_DITR")), "ditr").when(F.exists("_tokens", lambda t: t.startswith("{V_INTR")), "intr").otherwise("tr")
     counted = allocate(marked.withColumn("_kind", kind), "weight", total, "id").filter("n > 0")
     draws = counted.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     by = (F.col("id"), F.col("draw"))
     at = draws.join(verb_pool, "_kind").crossJoin(num_pool).withColumn("v", _choose(F.col("verbs"), f"{seed}-verb", *by)).drop("verbs")
     at = at.withColumn("a", _choose(F.col("v.agents"), f"{seed}-agent", *by)).withColumn("t", _choose(F.col("v.themes"), f"{seed}-theme", *by))
+    needs_theme, needs_goal = (has_slot(F.col("_tokens"), x) | has_slot(F.col("_tokens"), f"NUM_{x}") | has_slot(F.col("_tokens"), f"{x}_EN") for x in ("THEME_NP", "GOAL_NP"))
+    at = at.withColumn("g", F.when(needs_goal, _choose(F.filter("v.goals", lambda x: ~needs_theme | (x["goal_id"] != F.col("t.theme_id"))), f"{seed}-goal", *by)))
     at = at.withColumn("num", _choose(F.col("numerals"), f"{seed}-num", *by)).drop("numerals")
     at = at.join(adj_pool, F.col("a.agent_id") == F.col("nid"), "left").withColumn("adj", _choose(F.col("adjs"), f"{seed}-adj", *by)).drop("adjs", "nid")
     needs_adj = has_slot(F.col("_tokens"), "ADJ")
     at = at.filter(F.col("a").isNotNull() & F.col("t").isNotNull() & (~needs_adj | F.col("adj").isNotNull()) & ~F.coalesce((F.col("a.agent_id") == F.col("t.theme_id")) & has_slot(F.col("_tokens"), "THEME_NP"), F.lit(False)))
+    roles = [(F.col(f"{x}.{role}_class"), F.col(f"v.{role}_allow"), F.col(f"v.{role}_ban")) for x, role in (("a", "agent"), ("t", "theme"), ("g", "goal"))]
+    at = at.filter((~needs_goal | F.col("g").isNotNull()) & valid_roles(F.when(needs_theme, F.col("t.theme_id")), F.col("g.goal_id"), F.col("_kind") != "intr", F.col("_kind") == "ditr", needs_theme, needs_goal, roles))
     at = at.withColumn("vid", F.col("v.id")).join(F.broadcast(bundles), ["_kind", "vid", "person"])
     p, none, no, yes = F.col("person"), F.lit(None).cast("string"), F.lit(False), F.lit(True)
 
     def phrases(slot: str, role: str) -> dict[str, Column]:
-        c = lambda x: F.col(f"{'a' if role == 'agent' else 't'}.{role}_{x}")
+        c = lambda x: F.col(f"{role[0]}.{role}_{x}")
         out = {
             f"NUM_{slot}": qeqchi.numeral_phrase(F.col("num.lemma_kek"), c("lemma_kek"), c("class")),
             f"NUM_{slot}_EN": english.numeral_phrase(F.col("num.gloss_en"), c("gloss_en"), c("countability_en")),
@@ -89,14 +97,14 @@ def render(templates: DataFrame, nouns: DataFrame, verbs: DataFrame, adjectives:
         "COP_ES": F.when(spanish.copula(F.col("adj.adj_copula_es")) == "estar", spanish.present(F.lit("estar"), p)).otherwise(spanish.present(F.lit("ser"), p)),
         "NUM": F.col("num.lemma_kek"), "NUM_EN": F.col("num.gloss_en"), "NUM_ES": F.col("num.gloss_es"), **{k: english.by_person(p, v) for k, v in english.AUXILIARIES.items()},
     }
-    surfaces = {k: F.coalesce(v, F.lit("")) for k, v in {**phrases("NP", "agent"), **phrases("THEME_NP", "theme"), **single}.items()}
+    surfaces = {k: F.coalesce(v, F.lit("")) for k, v in {**phrases("NP", "agent"), **phrases("THEME_NP", "theme"), **phrases("GOAL_NP", "goal"), **single}.items()}
     env = F.map_concat(qeqchi.placeholders(), english.slot_map(surfaces, wanted), F.col("forms"))
     full = at.withColumn("values", env)
     kek = sentence_case(tidy_marks(clean_kek(qeqchi.move_ta(qeqchi.fuse_affixes(qeqchi.fuse_possessives(tidy_marks(fill(F.col("kek"), F.col("values")))))))))
     return full.select(
         F.col("id").alias("template_id"), "draw", kek.alias("kek"), sentence_case(tidy_marks(clean_english(fill(F.col("en"), F.col("values"))))).alias("en"),
         sentence_case(tidy_marks(clean_spanish(fill(F.col("es"), F.col("values"))))).alias("es"), "values", F.col("kek").alias("template"),
-        F.struct(F.col("a.agent_class").alias("NP"), F.col("t.theme_class").alias("THEME_NP")).alias("classes"))
+        F.struct(F.col("a.agent_class").alias("NP"), F.col("t.theme_class").alias("THEME_NP"), F.col("g.goal_class").alias("GOAL_NP")).alias("classes"))
 
 
 def render_many(render_total, total: int, history: DataFrame | None = None, factor: int = 3) -> DataFrame:
@@ -125,7 +133,7 @@ def slot_tag(slot: Column, classes: Column) -> Column:
     def tag(upos: str, sem: Column | str = "O") -> Column:
         return F.struct(F.lit(upos).alias("upos"), (F.lit(sem) if isinstance(sem, str) else sem).alias("sem"))
 
-    cls = F.when(noun == "THEME_NP", classes["THEME_NP"]).otherwise(classes["NP"])
+    cls = F.when(noun == "THEME_NP", classes["THEME_NP"]).when(noun == "GOAL_NP", classes["GOAL_NP"]).otherwise(classes["NP"])
     return (F.when(slot.rlike(r"_E[NS](_|\})"), None).when(noun != "", tag("NOUN", label(cls))).when(slot.rlike(r"^\{V_(INTR|TR|DITR)(_(PST|FUT|PROG|FUT_PROG|PROG_FUT|IMP|IMP_NEG|PASS|PST_PASS|FUT_PASS))?(_PL)?\}$"), tag("VERB"))
             .when(slot.rlike(r"^\{ADJ"), tag("ADJ")).when(slot.rlike(r"^\{ADV"), tag("ADV")).when(slot == "{NUM}", tag("NUM")).when(slot == "{NAME}", tag("PROPN", "B-HUMAN")).when(slot == "{PLACE}", tag("PROPN", "B-PLACE"))
             .when(slot.rlike(r"^\{(SUBJ|AFFIX)_PRONOUN\}$"), tag("PRON")).when(slot.rlike(r"^\{(NEG_|YN_Q)"), tag("PART")).when(slot.rlike(r"^\{(WH|COMP|EXIST)"), tag("X")))
