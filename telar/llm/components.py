@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telar.llm._common import materialize
+from telar.llm._common import forget, materialize
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m")))
         after = materialize(small.filter("a <> b").distinct())
+        forget(now)
         # done when every node points at one node, and that node at none
         if after.groupBy("a").count().filter("count > 1").isEmpty() and after.select("b").distinct().join(after.select("a"), F.col("a") == F.col("b"), "left_semi").isEmpty():
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(after.select("b", "b").distinct())
