@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from telar.llm._common import grouped, materialize
+from telar.llm._common import forget, grouped, materialize, planes, whole
 from telar.llm._words import chunks, gram_hashes, hash_spans, mix, spans
 from telar.llm.components import components, forest
 
@@ -29,6 +29,7 @@ HOT = 64
 BLOOM_LIMIT = 32 << 20
 #: N-grams of the sets that a task compares with as many others.
 BLOCK = 1_000_000
+_LOW = np.uint64((1 << 56) - 1)
 
 
 def _distinct(g: np.ndarray) -> np.ndarray:
@@ -43,27 +44,29 @@ class Order:
     well more than its counters' mean, as for a passage that many documents share, that count holds if it is larger.
     """
 
-    def __init__(self, words: dict[int, bytes], grams: dict[int, bytes], n: int) -> None:
-        """words and grams: slices of the sketches' counts by number; slice by slice, as the whole would take the driver's memory."""
-        def total(slices: dict[int, bytes]) -> float:
-            return sum(float(np.frombuffer(x, np.float32).sum(dtype=np.float64)) for x in slices.values())
-
-        self.tokens = max(1, int(total(words)))
-        self.n = n
+    def __init__(self, tokens: float, grams: float, n: int) -> None:
+        """tokens and grams: how many words and distinct n-grams of a text the sketches counted in all."""
+        self.tokens, self.twice, self.n = max(1, int(tokens)), 2 * grams / (1 << GRAM_BITS), n
         # in fifths of a power of two; words that were not met are as rare as those met once
         self.total = int(round(5 * np.log2(self.tokens)))
         self.word = np.full(1 << WORD_BITS, min(255, self.total), np.uint8)
-        for i, x in words.items():
-            self.word[i << SLICE_BITS : i + 1 << SLICE_BITS] = np.round(5 * np.log2(self.tokens / np.maximum(np.frombuffer(x, np.float32), 1))).clip(0, 255)
-        twice = 2 * total(grams) / (1 << GRAM_BITS)
         self.gram = np.zeros(1 << GRAM_BITS, np.uint8)
-        for i, x in grams.items():
-            above = np.frombuffer(x, np.float32) - twice
-            self.gram[i << SLICE_BITS : i + 1 << SLICE_BITS] = np.where(above > 0, np.round(5 * np.log2(np.maximum(above, 1)) + 100).clip(0, 255), 0)
+
+    @staticmethod
+    def levels(at: int, counts: np.ndarray, tokens: int, twice: float) -> np.ndarray:
+        """A byte for each counter of a slice: what take keeps."""
+        if at >> 20:
+            above = counts - twice
+            return np.where(above > 0, np.round(5 * np.log2(np.maximum(above, 1)) + 100).clip(0, 255), 0).astype(np.uint8)
+        return np.round(5 * np.log2(tokens / np.maximum(counts, 1))).clip(0, 255).astype(np.uint8)
+
+    def take(self, at: int, levels: bytes) -> None:
+        i = at & (1 << 20) - 1
+        (self.gram if at >> 20 else self.word)[i << SLICE_BITS : i + 1 << SLICE_BITS] = np.frombuffer(levels, np.uint8)
 
     def keys(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The distinct n-grams of each text, as numbers that follow the order."""
-        n, low = self.n, np.uint64((1 << 56) - 1)
+        n = self.n
         for _, _, data, offsets in chunks(column):
             s, e, first = spans(data, offsets)
             h = hash_spans(data, s, e)
@@ -77,7 +80,7 @@ class Order:
                 for i in range(1, m):
                     chance -= by_word[a + i : b - m + 1 + i]
                 rank = np.maximum(chance + 100, self.gram[(g >> np.uint64(64 - GRAM_BITS)).astype(np.int64)]).clip(0, 255).astype(np.uint64)
-                yield _distinct(rank << np.uint64(56) | g & low)
+                yield _distinct(rank << np.uint64(56) | g & _LOW)
 
 
 def _prefix(size: int, t: float) -> int:
@@ -113,20 +116,29 @@ def _sketch(texts: DataFrame, n: int) -> Order:
         for kind, counts in enumerate(total):
             for i, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
                 if part.any():
-                    wide = next(w for w in (np.uint8, np.uint16, np.uint32) if part.max() <= np.iinfo(w).max)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind << 20 | i], pa.int32()), pa.array([part.astype(wide).tobytes()])], names=["slice", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind << 20 | i], pa.int32()), pa.array([planes(part)])], names=["slice", "counts"])
 
     def add(table: pa.Table) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLICE_BITS, np.int64)
         for x in table["counts"].to_pylist():
-            total += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) >> SLICE_BITS])
-        yield pa.RecordBatch.from_arrays([table["slice"].combine_chunks().slice(0, 1), pa.array([total.astype(np.float32).tobytes()])], names=["slice", "counts"])
+            total += whole(x, np.uint32)
+        yield pa.RecordBatch.from_arrays([table["slice"].combine_chunks().slice(0, 1), pa.array([planes(total)]), pa.array([float(total.sum())])], names=["slice", "counts", "total"])
+
+    counted = materialize(grouped(texts.select("text").mapInArrow(count, "slice int, counts binary"), ["slice"], add, "slice int, counts binary, total double"))
+    totals = dict(counted.groupBy(F.shiftright("slice", 20).alias("kind")).agg(F.sum("total")).collect())
+    order = Order(totals.get(0, 0), totals.get(1, 0), n)
+    tokens, twice = order.tokens, order.twice
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("slice")
+            yield pa.RecordBatch.from_arrays([at, pa.array([Order.levels(i, whole(x, np.int64), tokens, twice).tobytes() for i, x in zip(at.to_pylist(), b.column("counts").to_pylist())], pa.binary())], names=["slice", "levels"])
 
-    kind = "slice int, counts binary"
-    found: tuple[dict, dict] = ({}, {})
-    for at, counts in grouped(texts.select("text").mapInArrow(count, kind), ["slice"], add, kind).toLocalIterator():
-        found[at >> 20][at & (1 << 20) - 1] = bytes(counts)
-    return Order(*found, n)
+    # a byte for each counter: as much for every input
+    for at, levels in counted.select("slice", "counts").mapInArrow(level, "slice int, levels binary").collect():
+        order.take(at, levels)
+    forget(counted)
+    return order
 
 
 def _signature(key: np.ndarray) -> int:
@@ -226,13 +238,13 @@ def _similar(sets: list[np.ndarray], t: float, split: int | None = None) -> Iter
             yield order[x], np.array([order[v] for v in ys[good].tolist()]), j[good]
 
 
-def _packed(part: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+def _packed(part: np.ndarray, parts: int, columns: list[np.ndarray], to_bytes: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> Iterator[tuple[int, list[bytes]]]:
     """The rows of each part, column by column."""
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     for q in np.flatnonzero(np.diff(cut)).tolist():
         rows = order[cut[q] : cut[q + 1]]
-        yield q, [c[rows].tobytes() for c in columns]
+        yield q, [to_bytes(c[rows].reshape(-1)) for c in columns]
 
 
 def _needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
@@ -244,21 +256,24 @@ def _needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.maximum(1, np.ceil(t / (1 + t) * (n + m) - 1e-9) - np.maximum(*rest))
 
 
-def _candidates(texts: DataFrame, t: float, rank: Broadcast) -> DataFrame:
-    """(sig, comp): the sets that may be similar to another, and the connected components of those that may be.
+def _short(sig: int) -> int:
+    """48 bits of a signature: enough to link candidates, as two sets taken for one only link more."""
+    return sig >> 15
+
+
+def _candidates(texts: DataFrame, t: float, rank: Broadcast, parts: int) -> DataFrame:
+    """(short, comp): the sets that may be similar to another, and the connected components of those that may be.
 
     Sets that share an n-gram of their prefixes are linked if so many of these as a similar pair needs are shared, or if
     one of them is shared by more than HOT sets, whose pairs are not listed.
     """
-    parts = max(16, rank.value.tokens // PART)
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_of = rank.value
         for b in batches:
             held, sigs, sizes, counts, size, seen = [], [], [], [], 0, set()
             for key in chain(order_of.keys(b.column(0)), [None]):
                 if key is not None and len(key):
-                    sig = _signature(key)
+                    sig = _short(_signature(key))
                     # every document posts its signature, and each set its prefix, once in a task
                     posts = [np.array([sig], np.uint64)]
                     if sig not in seen:
@@ -272,21 +287,26 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast) -> DataFrame:
                 if held and (key is None or size > 1_000_000):
                     token = mix(np.concatenate(held))
                     part = (token % np.uint64(parts)).astype(np.int64)
-                    own, n = np.array(sigs, "<i8"), np.array(sizes, "<u4")
+                    own, n = np.array(sigs, "<i8"), np.array(sizes, np.uint32)
                     rows = []
                     for q, (tokens, which) in _packed(part, parts, [(token >> np.uint64(32)).astype("<u4"), np.repeat(np.arange(len(sigs)), counts)]):
                         w = np.frombuffer(which, np.int64)
                         f = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                        rows.append((q, tokens, own[w[f]].tobytes(), n[w[f]].tobytes(), np.diff(np.append(f, len(w))).astype("<u4").tobytes()))
+                        rows.append((q, tokens, own[w[f]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), planes(n[w[f]]), planes(np.diff(np.append(f, len(w))).astype(np.uint32))))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["part", "tokens", "sigs", "sizes", "counts"])
                     held, sigs, sizes, counts, size = [], [], [], [], 0
 
-    def whole(table: pa.Table, column: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(table[column].to_pylist()), kind)
+    def flat(table: pa.Table, column: str) -> bytes:
+        return b"".join(table[column].to_pylist())
+
+    def unpacked(table: pa.Table, column: str, kind: type) -> np.ndarray:
+        return np.concatenate([whole(x, kind) for x in table[column].to_pylist()])
 
     def link(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, runs = whole(table, "tokens", "<u4"), whole(table, "counts", "<u4")
-        sig, n = np.repeat(whole(table, "sigs", "<i8"), runs), np.repeat(whole(table, "sizes", "<u4"), runs)
+        token, runs = np.frombuffer(flat(table, "tokens"), "<u4"), unpacked(table, "counts", np.uint32)
+        sig = np.zeros((len(runs), 8), np.uint8)
+        sig[:, :6] = np.frombuffer(flat(table, "sigs"), np.uint8).reshape(-1, 6)
+        sig, n = np.repeat(sig.reshape(-1).view("<i8"), runs), np.repeat(unpacked(table, "sizes", np.uint32), runs)
         # n-grams of one set alone are most, and go first
         order = np.argsort(token, kind="stable")
         new = np.append(True, token[order][1:] != token[order][:-1])
@@ -306,7 +326,8 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast) -> DataFrame:
         a, b = forest(sig[hot], least[hot])
         a, b = np.concatenate([a, loops]), np.concatenate([b, loops])
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([x.astype("<i8").tobytes()]) for x in (a, b)], pa.array([b""]), pa.array([b""])], names=["part", "a", "b", "counts", "sizes"])
+            # stars need no counting, and stay spread
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(mix(a[:1].astype(np.uint64))[0] % np.uint64(1024))], pa.int32()), *[pa.array([planes(x)]) for x in (a, b)], pa.array([b""]), pa.array([b""])], names=["part", "a", "b", "counts", "sizes"])
         run, sig, n = run[~hot], sig[~hot], n[~hot]
         pairs = []
         for d in range(1, HOT):
@@ -323,14 +344,14 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast) -> DataFrame:
         count = np.diff(np.append(first, len(pairs)))
         pairs = pairs[first]
         part = (mix(pairs[:, 0].astype(np.uint64) * np.uint64(3) + pairs[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        rows = [(q, *x) for q, x in _packed(part, parts, [pairs[:, 0].astype("<i8"), pairs[:, 1].astype("<i8"), count.astype("<u4"), pairs[:, 2:].astype("<u4")])]
+        rows = [(q, *x) for q, x in _packed(part, parts, [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), count.astype(np.uint32), pairs[:, 2:].astype(np.uint32)], planes)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["part", "a", "b", "counts", "sizes"])
 
     def keep(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, b = whole(table, "a", "<i8"), whole(table, "b", "<i8")
+        a, b = unpacked(table, "a", np.int64), unpacked(table, "b", np.int64)
         if table["part"][0].as_py() >= 0:
-            count, n = whole(table, "counts", "<u4").astype(np.int64), whole(table, "sizes", "<u4").reshape(-1, 2).astype(np.int64)
+            count, n = unpacked(table, "counts", np.uint32).astype(np.int64), unpacked(table, "sizes", np.uint32).reshape(-1, 2).astype(np.int64)
             order = np.lexsort((b, a))
             a, b, count, n = a[order], b[order], count[order], n[order]
             first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -340,24 +361,26 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast) -> DataFrame:
 
     posted = texts.select("text").mapInArrow(emit, "part int, tokens binary, sigs binary, sizes binary, counts binary")
     linked = grouped(posted, ["part"], link, "part int, a binary, b binary, counts binary, sizes binary")
-    # stars need no counting, and stay spread
-    spread = F.when(F.col("part") < 0, F.lit(-1) - F.pmod(F.xxhash64("a"), F.lit(1024)).cast("int")).otherwise(F.col("part"))
-    edges = materialize(grouped(linked.withColumn("part", spread), ["part"], keep, "a long, b long"))
-    joined = components(edges).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
-    alone = edges.filter("a = b").select(F.col("a").alias("sig"), F.col("a").alias("comp")).distinct().join(joined, "sig", "left_anti")
-    return materialize(joined.union(alone))
+    edges = materialize(grouped(linked, ["part"], keep, "a long, b long"))
+    joined = components(edges).select(F.col("node").alias("short"), F.col("component").alias("comp"))
+    alone = edges.filter("a = b").select(F.col("a").alias("short"), F.col("a").alias("comp")).distinct().join(joined, "short", "left_anti")
+    out = materialize(joined.union(alone))
+    forget(edges)
+    return out
 
 
 def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
     """(comp, bi, bj, side, doc_id, sig, keys): the documents of each component, once for each pair of its blocks."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).filter("doc_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.lower("text").alias("text")).filter("doc_id is not null and text is not null")
     spark = docs.sparkSession
-    rank = spark.sparkContext.broadcast(_sketch(texts, n))
-    comps = _candidates(texts, t, rank)
+    order = _sketch(texts, n)
+    parts, rank = max(16, order.tokens // PART), spark.sparkContext.broadcast(order)
+    del order
+    comps = _candidates(texts, t, rank, parts)
     count = comps.count()
     bloom = None
     if count * 12 / 8 * 2 <= BLOOM_LIMIT:
-        values = comps.select("sig").toPandas()["sig"].to_numpy() if count else np.zeros(0, np.int64)
+        values = comps.select("short").toPandas()["short"].to_numpy() if count else np.zeros(0, np.int64)
         bloom = spark.sparkContext.broadcast(_Bloom(values))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,14 +390,16 @@ def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
 
             def flush() -> Iterator[pa.RecordBatch]:
                 sig = np.array([x[1] for x in out], np.int64)
-                keep = np.flatnonzero(filter_.has(sig)) if filter_ is not None else np.arange(len(out))
+                keep = np.flatnonzero(filter_.has(_short(sig))) if filter_ is not None else np.arange(len(out))
                 rows = []
                 for i in keep.tolist():
                     d, s, key = out[i]
-                    rows.append((d, s, len(key), None if s in seen else key.astype("<u8").tobytes()))
+                    first = s not in seen
                     seen.add(s)
+                    # without their ranks, which every pair of blocks finds anew: 56 bits, whose differences are packed
+                    rows.append((d, s, len(key), 1 + len(key) * first, planes(np.diff(np.sort(key & _LOW), prepend=np.uint64(0))) if first else None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "sig", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (*[pa.int64()] * 4, pa.binary()))], names=["doc_id", "sig", "n", "w", "keys"])
 
             for d, key in zip(ids, order_of.keys(b.column("text"))):
                 if len(key):
@@ -387,11 +412,15 @@ def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
                 yield from flush()
 
     # the sets are moved twice, to their rows' blocks and to the blocks' pairs; where they go is worked out without them
-    sets = materialize(texts.mapInArrow(gather, "doc_id long, sig long, n long, keys binary"))
-    weight = F.count("*") + F.sum(F.when(F.col("keys").isNotNull(), F.col("n")).otherwise(0))
-    each = sets.join(comps, "sig").groupBy("comp", "sig").agg(F.max("n").alias("n"), weight.alias("_w"))
+    sets = materialize(texts.mapInArrow(gather, "doc_id long, sig long, n long, w long, keys binary"))
+    rank.destroy()
+    if bloom is not None:
+        bloom.destroy()
+    sized = sets.groupBy("sig").agg(F.max("n").alias("n"), F.sum("w").alias("_w"))
+    each = sized.withColumn("short", F.shiftright("sig", 15)).join(comps, "short").select("comp", "sig", "n", "_w")
     within = Window.partitionBy("comp").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, -1)
     blocked = materialize(each.withColumn("_b", F.coalesce(F.sum("_w").over(within) / BLOCK, F.lit(0.0)).cast("int")))
+    forget(comps)
     return sets.join(_paired(blocked, t), "sig").select("comp", "bi", "bj", "side", "doc_id", "sig", "keys")
 
 
@@ -419,7 +448,7 @@ def _members(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], int]:
     sets, ids = [], []
     for g in groups:
         s = int(sig[g[0]])
-        sets.append(np.frombuffer(keys[have[s]].as_py(), "<u8"))
+        sets.append(np.cumsum(whole(keys[have[s]].as_py(), np.uint64), dtype=np.uint64))
         ids.append(np.unique(doc[g]))
     return sets, ids, int((side[order][cut] == 0).sum())
 
@@ -442,7 +471,8 @@ def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFr
     Documents of equal sets are one set with several members up to the output, which has all their pairs. No partner or
     candidate is capped.
 
-    Null, empty and wordless texts are in no pair, nor is a row with a null doc_id. Rows of the same doc_id are no pair;
+    Null, empty and wordless texts are in no pair, nor is a row with a null doc_id, or one that is no integer of 64 bits.
+    Texts of any length are read whole. Rows of the same doc_id are no pair;
     where their texts differ, a pair is listed once, with its largest similarity. An empty table gives an empty result.
     Other columns are left out.
     """
