@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import pickle
 import re
 import uuid
 from collections import Counter
@@ -19,7 +19,10 @@ from telar.llm._words import WORD, chunks, hash_spans, spans
 LENGTH, DECAY = 3, np.float32(0.6)
 #: Characters of a unit that are compared at once; longer units are read in windows that overlap by half.
 WINDOW = 24
+#: Landmarks at most. Of each set of toxic documents two pieces at most become landmarks; with more kinds of insults than
+#: landmarks, those of fewer documents are only seen as far as they have characters in common with the others.
 LANDMARKS = 48
+#: Of so many clean units one may score as toxic.
 CLEAN = 2000
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
@@ -154,24 +157,34 @@ class Model:
         self.weights, self.bias = np.zeros(int(good.sum())), -1.0
         self.count, self.share = 1, 0.0
 
-    def fit(self, features: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> None:
-        """Squared hinge loss by Newton steps on the rows within the margin."""
-        x = np.empty((len(features), self.map.shape[1] + 1), np.float32)
-        np.matmul(features, self.map.astype(np.float32), out=x[:, :-1])
-        x[:, -1] = 1
-        w = np.zeros(x.shape[1])
+    def judge(self) -> Model:
+        """The model without what only training needs: the table of the machine itself stays, a number for each triple of characters."""
+        self.kernel.table = self.map = None
+        return self
+
+    def features(self, strings: list[str]) -> np.ndarray:
+        """Nyström features of strings, with a 1 after each."""
+        x = np.ones((len(strings), self.map.shape[1] + 1), np.float32)
+        project = self.map.astype(np.float32)
+        for a in range(0, len(strings), 20_000):
+            x[a : a + 20_000, :-1] = self.kernel(strings[a : a + 20_000]) @ project
+        return x
+
+    def fit(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], c: float = 1.0) -> None:
+        """Squared hinge loss by Newton steps on the rows within the margin; parts: (features, y, weight)."""
+        w = np.zeros(parts[0][0].shape[1])
         ridge = np.eye(len(w))
         ridge[-1, -1] = 1e-6
         for _ in range(30):
-            active = y * (x @ w.astype(np.float32)) < 1
             gram, right = ridge.copy(), np.zeros(len(w))
-            rows = np.flatnonzero(active)
-            for a in range(0, len(rows), 20_000):
-                part = rows[a : a + 20_000]
-                xa = x[part].astype(np.float64)
-                heavy = xa.T * (c * weight[part])
-                gram += heavy @ xa
-                right += heavy @ y[part]
+            for x, y, weight in parts:
+                rows = np.flatnonzero((y * (x @ w.astype(np.float32)) < 1) & (weight > 0))
+                for a in range(0, len(rows), 20_000):
+                    part = rows[a : a + 20_000]
+                    xa = x[part].astype(np.float64)
+                    heavy = xa.T * (c * weight[part])
+                    gram += heavy @ xa
+                    right += heavy @ y[part]
             new = np.linalg.solve(gram, right)
             if np.allclose(new, w, atol=1e-5):
                 break
@@ -189,9 +202,9 @@ class Model:
             if _MARKS.search(t):
                 texts.append("^" + _MARKS.sub("", t) + "$")
             for x in texts:
-                for a in range(0, max(1, len(x) - WINDOW // 2), WINDOW // 2):
-                    windows.append(x[a : a + WINDOW])
-                    owner.append(i)
+                w = _windows(x)
+                windows += w
+                owner += [i] * len(w)
         return windows, np.array(owner, np.int64)
 
     def scores(self, raw: list[bytes]) -> np.ndarray:
@@ -203,8 +216,12 @@ class Model:
         return out
 
 
-def _landmarks(pos: Counter, neg: Counter, n_pos: int, n_neg: int, docs_of: dict[str, set]) -> list[str]:
-    """Pieces of units that mark toxic texts best, each adding texts of its own or a variant."""
+def _windows(text: str) -> list[str]:
+    return [text[a : a + WINDOW] for a in range(0, max(1, len(text) - WINDOW // 2), WINDOW // 2)]
+
+
+def _landmarks(pos: Counter, neg: Counter, n_pos: int, n_neg: int, docs_of: dict[str, int]) -> list[str]:
+    """Pieces of units that mark toxic texts best, each adding texts of its own or a variant; docs_of has a bit for each toxic text."""
     def gain(g: str) -> float:
         p, q = pos[g] / n_pos, neg[g] / max(1, n_neg)
         return (p - q) / np.sqrt(p + q + 1 / n_pos)
@@ -220,12 +237,12 @@ def _landmarks(pos: Counter, neg: Counter, n_pos: int, n_neg: int, docs_of: dict
     least = 2 * np.log(max(2, len(tried))) + 3
     ranked = sorted((g for g in tried if surprise(g) >= least), key=lambda g: (-gain(g), -len(g), g))
     chosen: list[str] = []
-    covered: list[set] = []
-    for g in ranked[:4000]:
-        alike = sum(len(docs_of[g] & c) > 0.8 * len(docs_of[g] | c) for c in covered)
-        if alike < 2:
+    covered: list[int] = []
+    for g in ranked:
+        d = docs_of[g]
+        if sum((d & c).bit_count() > 0.8 * (d | c).bit_count() for c in covered) < 2:
             chosen.append(g)
-            covered.append(docs_of[g])
+            covered.append(d)
         if len(chosen) == LANDMARKS:
             break
     return chosen
@@ -236,7 +253,8 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
 
     Sentences inherit their text's label. Most sentences of a toxic text are harmless, so each is a bag of units: those of
     clean sentences are negative, and of a toxic text's sentences the units that score as toxic are positive, first by the
-    pieces that mark toxic texts, then twice by the machine itself.
+    pieces that mark toxic texts, then twice by the machine itself. Units don't reach across sentences; beyond that the
+    sentences of a text count together.
     """
     sentences = [(i, x) for i, t in enumerate(texts) for x in _SENTENCE.split(t) if x]
     shared: dict[bytes, bytes] = {}
@@ -268,30 +286,41 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     for t in np.flatnonzero(labels).tolist():
         pos.update(pieces(occurrences[t]))
     pos = Counter({g: k for g, k in pos.items() if k > 1})
-    neg, docs_of = Counter(), {g: set() for g in pos}
+    neg, docs_of, bit = Counter(), dict.fromkeys(pos, 0), 1
     for t, us in enumerate(occurrences):
-        for g in pieces(us) & docs_of.keys():
-            if labels[t]:
-                docs_of[g].add(t)
-            else:
-                neg[g] += 1
+        known = pieces(us) & docs_of.keys()
+        if labels[t]:
+            for g in known:
+                docs_of[g] |= bit
+            bit <<= 1
+        else:
+            neg.update(known)
     chosen = _landmarks(pos, neg, n_pos, n_neg, docs_of)
+    del pos, neg, docs_of
     if not chosen:
         return None
     model = Model(chosen)
     every = sorted({*in_pos, *in_neg})
+    number = {u: i for i, u in enumerate(every)}
+    held = [(np.fromiter((number[u] for u in o), np.int32, len(o)), np.fromiter(o.values(), np.int32, len(o))) for o in occurrences]
+    del occurrences, number
     odds = np.array([in_pos[u] / n_pos - 2 * in_neg[u] / n_neg for u in every])
     marked = np.array([any(g in x for g in chosen) for x in map(_text, every)])
     seen_pos, seen_neg = np.array([in_pos[u] for u in every], float), np.array([in_neg[u] for u in every], float)
     usable = (odds > 0) & (seen_pos > 0)
     positive = marked & usable
     windows, owner = model.windows(every)
-    k = model.kernel(windows)
-    del windows, pos, neg, docs_of
+    x = model.features(windows)
+    del windows
+
+    def scored() -> np.ndarray:
+        score = np.full(len(every), -np.inf)
+        np.maximum.at(score, owner, x[:, :-1] @ model.weights + model.bias)
+        return score
+
     for turn in range(3):
         if turn:
-            score = np.full(len(every), -np.inf)
-            np.maximum.at(score, owner, k @ (model.map @ model.weights) + model.bias)
+            score = scored()
             positive = (score > 0) & usable
         negative = ~positive & (seen_neg > 0)
         if not positive.any() or not negative.any():
@@ -300,22 +329,18 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
         weight = np.where(positive, heavy * seen_pos, np.where(negative, seen_neg, 0))
         # insults written with inserted, doubled or lost characters, a variant or two of each
         bent, of = _bend([every[i] for i in np.flatnonzero(positive)])
-        k_bent = model.kernel(bent)
         of = np.flatnonzero(positive)[of]
-        use = weight[owner] > 0
-        y = np.concatenate([np.where(positive, 1.0, -1.0)[owner][use], np.ones(len(of))])
-        model.fit(np.concatenate([k[use], k_bent]), y, np.concatenate([weight[owner][use], weight[of] / 20]))
+        model.fit([(x, np.where(positive, 1.0, -1.0)[owner], weight[owner]), (model.features(bent), np.ones(len(of)), weight[of] / 20)])
         # at most one clean unit in CLEAN may score as toxic
-        score = np.full(len(every), -np.inf)
-        np.maximum.at(score, owner, k @ (model.map @ model.weights) + model.bias)
+        score = scored()
         ranks = np.argsort(-score[negative], kind="stable")
         above = np.cumsum(seen_neg[negative][ranks]) > seen_neg[negative].sum() / CLEAN
         model.bias -= max(0.0, float(score[negative][ranks][np.argmax(above)]) + 1e-6)
+    del x
     score = model.scores(every)
-    number = {u: i for i, u in enumerate(every)}
     # how many toxic units, and what share of units, make a text toxic: the pair with the fewest weighted errors
-    toxic = np.array([sum(n for u, n in o.items() if score[number[u]] > 0) for o in occurrences])
-    share = toxic / np.maximum(1, [sum(o.values()) for o in occurrences])
+    toxic = np.array([int(n[score[u] > 0].sum()) for u, n in held])
+    share = toxic / np.maximum(1, [int(n.sum()) for _, n in held])
     label = np.array(labels) > 0
     best = None
     for count in (1, 2, 3):
@@ -333,16 +358,20 @@ def _bend(raw: list[bytes]) -> tuple[list[str], np.ndarray]:
     out, of = [], []
     rng = np.random.default_rng(7)
     for i, r in enumerate(raw):
-        t = _text(r)[:WINDOW - 1]
+        t = _text(r)
         if len(t) < 6:
             continue
         a, b, c, d = rng.integers(2, len(t) - 2, 4).tolist()
         letter = "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))]
-        out += [t[:a] + letter + t[a:], t[:b] + t[b - 1] + t[b:], t[:c] + "*" + t[c + 1 :], t[:d] + t[d + 1 :]]
-        of += [i] * 4
+        for x in (t[:a] + letter + t[a:], t[:b] + t[b - 1] + t[b:], t[:c] + "*" + t[c + 1 :], t[:d] + t[d + 1 :]):
+            w = _windows(x)
+            out += w
+            of += [i] * len(w)
     return out, np.array(of, np.int64)
 
 
+#: Of the last model a worker process met: the model, and the verdicts on units so far.
+_models: dict[str, Model | None] = {}
 _known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -358,15 +387,19 @@ def _group(column: pa.Array, size: int) -> Iterator[list]:
         yield held
 
 
-def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model | None:
-    chosen = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> bytes:
+    """The model, fitted in one task of an executor and packed: some hundred KB."""
+    chosen = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most `sample` rows, so that they may be sent to all
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic").orderBy("doc_id", "text").limit(2 * sample).collect()
-    model = train([r["text"] for r in rows], [int(r["_toxic"] > 0) for r in rows])
-    del rows
-    gc.collect()
-    return model
+    # at most `sample` rows, so that they may be sent to all; a text for each, so that no more than these are learned from
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for b in batches for x in zip(*[c.to_pylist() for c in b.columns]))
+        model = train([x[1] for x in rows], [int(x[2] > 0) for x in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model and model.judge())], pa.binary())], names=["model"])
+
+    return bytes(texts.coalesce(1).mapInArrow(learn, "model binary").first()[0])
 
 
 def _judge(model: Model | None, name: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -411,36 +444,43 @@ def _judge(model: Model | None, name: str, texts: pa.Array) -> tuple[np.ndarray,
     return n, toxic, (toxic >= model.count) & (toxic >= model.share * n) & (toxic > 0)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> DataFrame:
+def _loaded(packed: bytes, name: str) -> Model | None:
+    if name not in _models:
+        _models.clear()
+        _models[name] = pickle.loads(packed)
+    return _models[name]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
     """docs' (doc_id, n_units, n_toxic, toxic) for every row: how many units, how many of them score as toxic, verdict 0 or 1.
 
-    The machine is fitted on the driver to the texts of at most `sample` labelled documents (doc_id, toxic), those with
+    The machine is fitted in one task to the texts of at most `sample` labelled documents (doc_id, toxic), those with
     the smallest hashed doc_id; everything else reads all texts whole. Each distinct unit of some megabytes of text is
     scored once, and a document is toxic where the number and the share of its toxic units reach what was learned.
+    At most LANDMARKS pieces of units are landmarks.
 
-    Null and empty texts have no unit and are not toxic. Rows with the same doc_id are judged one by one. Without labels
-    of both classes nothing is toxic. Labels that are null or belong to no document are not used; a doc_id labelled
+    Null and empty texts have no unit and are not toxic. Texts of any length are read whole, and so are units: long ones
+    in windows. Rows with the same doc_id are judged one by one; the first of their texts in order is learned from. Without
+    labels of both classes nothing is toxic. Labels that are null or belong to no document are not used; a doc_id labelled
     twice is toxic if one label says so. An empty table gives an empty result. Other columns are left out.
     """
-    model = docs.sparkSession.sparkContext.broadcast(_fit(docs, labels, sample))
-    name = uuid.uuid4().hex
+    packed, name = _fit(docs, labels, sample), uuid.uuid4().hex
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, toxic, said = _judge(model.value, name, b.column("text"))
+            n, toxic, said = _judge(_loaded(packed, name), name, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(toxic), pa.array(said.astype(np.int32))], names=["doc_id", "n_units", "n_toxic", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, n_units long, n_toxic long, toxic int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
     """The rows of docs, all their columns, that toxicity does not find toxic; one pass, no shuffle of texts."""
-    model = docs.sparkSession.sparkContext.broadcast(_fit(docs, labels, sample))
-    name = uuid.uuid4().hex
+    packed, name = _fit(docs, labels, sample), uuid.uuid4().hex
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(~_judge(model.value, name, b.column("text"))[2]))
+            yield b.filter(pa.array(~_judge(_loaded(packed, name), name, b.column(b.schema.get_field_index("text")))[2]))
 
     return docs.mapInArrow(keep, docs.schema)
