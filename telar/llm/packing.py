@@ -21,40 +21,49 @@ BUCKETS = 1024
 class _Complements:
     """Finds one, two or three available lengths that sum to a gap.
 
-    Sums of pairs are indexed once; an entry found to be no longer available is struck out, which is safe because
-    counts only fall.
+    Sums of pairs and of triples are indexed once, a triple's by the largest length that may begin one; an entry found to
+    be no longer available is struck out, which is safe because counts only fall.
     """
 
     def __init__(self, left: np.ndarray) -> None:
         self.left, self.cap = left, len(left) - 1
         there = np.flatnonzero(left)
-        hits = np.zeros(2 * self.cap + 1, bool)
+        pairs = np.zeros(2 * self.cap + 1, bool)
         for a in there.tolist():
-            hits[a + there] = True
-        self.pair_sum = hits[: self.cap + 1]
+            pairs[a + there] = True
+        self.pair_sum = pairs[: self.cap + 1]
+        # the largest first length of a triple of each sum, 0 where there is none
+        self.triple_from = np.zeros(self.cap + 1, np.int64)
+        for a in there.tolist():
+            self.triple_from[a:][self.pair_sum[: self.cap + 1 - a]] = a
 
-    def _pair(self, gap: int) -> tuple[int, int] | None:
+    def _pair(self, gap: int, taken: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two available lengths, those taken left out; the sum is struck out only if it can't be met with those either."""
         if gap < 2 or not self.pair_sum[gap]:
             return None
         a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        fits = np.flatnonzero((self.left[a] > 0) & (self.left[gap - a] > (2 * a == gap)))
-        if not len(fits):
+        if not ((self.left[a] > 0) & (self.left[gap - a] > (2 * a == gap))).any():
             self.pair_sum[gap] = False
             return None
-        return int(a[fits[0]]), gap - int(a[fits[0]])
+        for x in taken:
+            self.left[x] -= 1
+        fits = np.flatnonzero((self.left[a] > 0) & (self.left[gap - a] > (2 * a == gap)))
+        for x in taken:
+            self.left[x] += 1
+        return (int(a[fits[0]]), gap - int(a[fits[0]])) if len(fits) else None
 
-    def find(self, gap: int) -> tuple[int, ...] | None:
-        if self.left[gap] > 0:
+    def find(self, gap: int, length: int) -> tuple[int, ...] | None:
+        """Lengths that fill the gap that one piece of `length` leaves."""
+        if self.left[gap] > (gap == length):
             return (gap,)
-        if pair := self._pair(gap):
+        if pair := self._pair(gap, (length,)):
             return pair
-        c = np.arange(gap - 2, 0, -1)
-        for x in c[(self.left[c] > 0) & self.pair_sum[gap - c]].tolist():
-            self.left[x] -= 1
-            pair = self._pair(gap - x) if self.left[x] >= 0 else None
-            self.left[x] += 1
-            if pair:
+        c = np.arange(self.triple_from[gap], 0, -1)
+        for x in c[(self.left[c] > (c == length)) & self.pair_sum[gap - c]].tolist():
+            if pair := self._pair(gap - x, (length, x)):
+                self.triple_from[gap] = x
                 return (x, *pair)
+        self.triple_from[gap] = 0
         return None
 
 
@@ -71,9 +80,7 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     index, bins, rest = _Complements(left), [], np.zeros(cap + 1, np.int64)
     for length in range(cap - 1, 0, -1):
         while left[length] > 0:
-            left[length] -= 1
-            found = index.find(cap - length)
-            left[length] += 1
+            found = index.find(cap - length, length)
             if found is None:
                 rest[length], left[length] = left[length], 0
                 break
@@ -117,8 +124,8 @@ def best_fit_pack(docs: DataFrame, capacity: int = 2048, length: Column | None =
     each piece finds its bin from its rank within its length. Ranks follow doc_id.
 
     Null and empty texts have no token: one row with bin_id and bin_offset null and n_tokens 0. Repeated rows and
-    rows with equal or null doc_id are packed one by one. An empty table gives an empty result. Other columns are
-    left out, whatever their names.
+    rows with equal or null doc_id are packed one by one. Texts of any length are counted whole, and cut. An empty table
+    gives an empty result. Other columns are left out, whatever their names.
     """
     n = F.coalesce(length if length is not None else F.regexp_count(F.col("text"), F.lit(TOKEN)), F.lit(0))
     key = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
