@@ -35,15 +35,49 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
+class _Members:
+    """The identifiers of one key, in 8 bytes each; beyond `limit` of them they go to a file, a few MB at a time."""
+
+    __slots__ = ("count", "held", "limit", "more", "path")
+
+    def __init__(self, limit: int, path: str | None) -> None:
+        self.held, self.more, self.count, self.limit, self.path = [], None, 0, limit, path
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[int | None]:
+        for _, _, members in self.more.read() if self.more else ():
+            yield from members
+        yield from self.held
+
+    def extend(self, members: list) -> int:
+        """Bytes that this adds to the memory held."""
+        before = len(self.held)
+        self.held += members
+        self.count += len(members)
+        if len(self.held) > self.limit and self.path:
+            self.more = self.more or _Spill(self.path)
+            self.more.add(b"", None, self.held)
+            self.more.flush()
+            self.held = []
+        return 40 * (len(self.held) - before)
+
+    def drop(self) -> None:
+        if self.more:
+            self.more.drop()
+
+
 class Patricia:
     """Maps byte strings to their smallest identifier and all their members.
 
     Where the kept edges exceed `limit` bytes, the largest subtree under the root is written to `folder`, and later
-    keys that begin with its first byte follow it there; each is then taken in by a trie of its own.
+    keys that begin with its first byte follow it there; each is then taken in by a trie of its own, below all that its
+    keys have in common, so that every trie has fewer keys than the one it came from.
     """
 
-    def __init__(self, limit: int, folder: str | None = None, depth: int = 0) -> None:
-        self.root, self.limit, self.folder, self.depth = _Node(b""), limit, folder, depth
+    def __init__(self, limit: int, folder: str | None = None) -> None:
+        self.root, self.limit, self.folder = _Node(b""), limit, folder
         self.bytes = 0
         self.weight: dict[int, int] = {}
         self.spilled: dict[int, _Spill] = {}
@@ -76,19 +110,18 @@ class Patricia:
                 child = middle
             node, rest = child, rest[k:]
         if node.members is None:
-            node.members, node.owner = [], owner
+            node.members, node.owner = _Members(max(1000, self.limit // 400), f"{self.folder}/{uuid.uuid4().hex}" if self.folder else None), owner
         elif owner is not None and (node.owner is None or owner < node.owner):
             node.owner = owner
-        node.members += members
-        self._grow(first, 16 * len(members))
-        if self.bytes > self.limit and self.folder and self.depth < 3:
+        self._grow(first, node.members.extend(members))
+        if self.bytes > self.limit and self.folder:
             self._spill()
 
     def _grow(self, first: int, n: int) -> None:
         self.bytes += n
         self.weight[first] = self.weight.get(first, 0) + n
 
-    def _walk(self, node: _Node, prefix: bytes) -> Iterator[tuple[bytes, object, list]]:
+    def _walk(self, node: _Node, prefix: bytes) -> Iterator[tuple[bytes, object, _Members]]:
         stack = [(node, prefix)]
         while stack:
             node, prefix = stack.pop()
@@ -102,23 +135,38 @@ class Patricia:
         first = max((f for f in self.weight if f >= 0), key=self.weight.get, default=None)
         if first is None or not self.root.children or first not in self.root.children:
             return
-        node = self.root.children.pop(first)
+        node = self.root.children[first]
+        if not node.children:
+            return  # one key
+        del self.root.children[first]
         self.spilled[first] = spill = _Spill(f"{self.folder}/{uuid.uuid4().hex}")
         for key, owner, members in self._walk(node, b""):
-            spill.add(key, owner, members)
+            batch = []
+            for m in members:
+                batch.append(m)
+                if len(batch) == 50_000:
+                    spill.add(key, owner, batch)
+                    batch = []
+            if batch:
+                spill.add(key, owner, batch)
+            members.drop()
         spill.flush()
         self.bytes -= self.weight.pop(first)
 
-    def items(self) -> Iterator[tuple[object, list]]:
+    def items(self) -> Iterator[tuple[object, _Members]]:
         """(smallest identifier, members) of each distinct key."""
         for _, owner, members in self._walk(self.root, b""):
             yield owner, members
+            members.drop()
         self.root = _Node(b"")
         for first, spill in self.spilled.items():
-            # below the byte that all its keys share, so that its root divides by the next
-            trie = Patricia(self.limit, self.folder, self.depth + 1)
+            low, high = None, None
+            for key, _, _ in spill.read():
+                low, high = key if low is None else min(low, key), key if high is None else max(high, key)
+            shared = _common(low, high)
+            trie = Patricia(self.limit, self.folder)
             for key, owner, members in spill.read():
-                trie.add(key[1:], owner, members)
+                trie.add(key[shared:], owner, members)
             yield from trie.items()
             spill.drop()
 
@@ -168,13 +216,14 @@ def exact_owners(docs: DataFrame, limit: int = 64 << 20) -> DataFrame:
     """(doc_id, owner_id, n_copies) of every row: the smallest doc_id with the same text, and how many rows have it.
 
     Rows are partitioned by length and hash of the text, and each partition inserts full texts into compressed radix
-    tries, so equality is that of bytes. Each input partition first does so by itself, and passes on each distinct
-    text once with its members: a text with any number of copies makes one row per input partition. A trie above
-    `limit` bytes spills by subtree to the shared folder.
-
-    A null text equals nothing: the row owns itself, with n_copies 1. Empty texts equal each other. Rows with a null
-    doc_id count as copies; where all copies have a null doc_id, the owner is null. doc_id is read as an integer of
-    64 bits. An empty table gives an empty result. Other columns are left out, whatever their names.
+    tries, so equality is that of bytes. Each batch of rows first groups its own, and passes on each distinct
+    text once with its members. A trie above `limit` bytes spills by subtree to the shared folder, and so do the members
+    of a text with very many copies: memory does not grow with either, though one task lists a text's members.
+
+    A null text equals nothing: the row owns itself, with n_copies 1. Empty texts equal each other. Texts of any length
+    are compared whole. Rows with a null doc_id count as copies; where all copies have a null doc_id, the owner is null.
+    doc_id is read as an integer of 64 bits, and anything else as null. An empty table gives an empty result. Other columns
+    are left out, whatever their names.
     """
     folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/telar-trie-{uuid.uuid4().hex}"
 
@@ -210,15 +259,16 @@ def exact_owners(docs: DataFrame, limit: int = 64 << 20) -> DataFrame:
                 trie.add(texts[i].as_py(), min(known) if known else None, ids)
         out: tuple[list, list, list] = ([], [], [])
         for owner, members in trie.items():
-            out[0].extend(members)
-            out[1].extend([owner] * len(members))
-            out[2].extend([len(members)] * len(members))
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "owner_id", "n_copies"])
-                out = ([], [], [])
+            n = len(members)
+            for m in members:
+                for column, x in zip(out, (m, owner, n)):
+                    column.append(x)
+                if len(out[0]) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "owner_id", "n_copies"])
+                    out = ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "owner_id", "n_copies"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     there = rows.filter("text is not null").select("doc_id", "text", F.octet_length("text").alias("_n"), F.xxhash64("text").alias("_h"))
     found = there.mapInArrow(local, "_n int, _h long, text string, ids array<long>").repartition("_n", "_h").mapInArrow(owners, "doc_id long, owner_id long, n_copies long")
     none = rows.filter("text is null").select("doc_id", F.col("doc_id").alias("owner_id"), F.lit(1).cast("long").alias("n_copies"))
