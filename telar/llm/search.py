@@ -130,11 +130,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "it
     queries' words are sent to all executors in parts of at most `limit` bytes of text, each part a scan of its own.
 
     Null and empty texts have length 0: a document of them is never a result but counts in N, a query of them has no
-    result. Rows with the same doc_id are results of their own; a null doc_id is last among equals. Repeated query rows
+    result. Texts of any length are read whole. Identifiers are integers of 64 bits; anything else is read as null. Rows with the same doc_id are results of their own; a null doc_id is last among equals. Repeated query rows
     give repeated results. An empty table on either side gives an empty result. Other columns are left out.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    asked = materialize(queries.select(F.col(id_column).cast("long").alias("item_id"), F.lower("text").alias("text")))
+    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    asked = materialize(queries.select(F.col(id_column).try_cast("long").alias("item_id"), F.lower("text").alias("text")))
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // limit) or 1
     out = None
@@ -188,9 +188,10 @@ def _search_part(texts: DataFrame, asked: list[tuple[int, dict[int, int]]], k: i
     mean = total / n_docs if n_docs and total else 1.0
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, term, doc, score, at = [], [], [], [], 0
+        ids, no_id, term, doc, score, at = [], [], [], [], [], 0
         for batch in batches:
-            ids.append(pc.fill_null(batch.column("doc_id"), np.iinfo(np.int64).max).to_numpy())
+            ids.append(pc.fill_null(batch.column("doc_id"), 0).to_numpy())
+            no_id.append(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
             for a, _, lengths, t, d, n in postings(batch.column("text")):
                 term.append(t.astype(np.int32))
                 doc.append((d + at + a).astype(np.int32))
@@ -199,18 +200,20 @@ def _search_part(texts: DataFrame, asked: list[tuple[int, dict[int, int]]], k: i
             at += batch.num_rows
         if not at:
             return
-        ids = np.concatenate(ids)
+        ids, no_id = np.concatenate(ids), np.concatenate(no_id)
+        place = np.empty(at, np.int64)
+        place[np.lexsort((ids, no_id))] = np.arange(at)
         if not term or not sum(map(len, term)):
             return
         index = ImpactIndex(len(words), np.concatenate(term), np.concatenate(doc), np.concatenate(score), at)
         out: list[tuple[np.ndarray, ...]] = []
         for row, item, query in plans:
-            docs, scores, _ = index.search(query, k, ids)
-            out.append((np.full(len(docs), row), np.full(len(docs), -1 if item is None else item), np.full(len(docs), item is None), ids[docs], scores))
-        row, item, no_item, found, scores = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0)] * 5
+            docs, scores, _ = index.search(query, k, place)
+            out.append((np.full(len(docs), row), np.full(len(docs), -1 if item is None else item), np.full(len(docs), item is None), ids[docs], no_id[docs], scores))
+        row, item, no_item, found, unknown, scores = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0)] * 6
         if len(row):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row.astype(np.int64)), pa.array(item.astype(np.int64), mask=no_item.astype(bool)), pa.array(found, mask=found == np.iinfo(np.int64).max), pa.array(scores)],
+                [pa.array(row.astype(np.int64)), pa.array(item.astype(np.int64), mask=no_item.astype(bool)), pa.array(found, mask=unknown), pa.array(scores)],
                 names=["row", "item_id", "doc_id", "score"])
 
     best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
