@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a table that may be sent to all; beyond, both sides of a join are exchanged.
+BROADCAST_LIMIT = 32 << 20
 #: Whether the shuffle files of a query go at its end; a table written has no further use for them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -65,6 +67,11 @@ def whole(x: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def sent(table: DataFrame, size: Column) -> DataFrame:
+    """A table written by materialize, to be sent to all where its rows' sizes sum up to BROADCAST_LIMIT bytes at most."""
+    return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_LIMIT else table
+
+
 def named(name: str) -> Column:
     """A column by its very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
