@@ -5,64 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.llm._common import forget, materialize, named, sent
+
 #: A line's hash counts this much in the next line's rolling hash.
 ROLL = 31
 
 
-def _chunks(divisor: int) -> F.Column:
-    """(first, last) line numbers of the chunks of `_lines`.
+def _chunked(lined: DataFrame, divisor: int) -> DataFrame:
+    """lined (.., lines) with chunks: (first, last) line numbers of the chunks of two lines or more.
 
     The rolling hash at a line covers it and the line before; a chunk ends where it is divisible by `divisor`, so
-    boundaries move with the content and come again two lines after any insertion.
+    boundaries move with the content and come again two lines after any insertion. Each step is a column of its own, so
+    that no line is hashed twice.
     """
-    hashed = F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 11), 16, 10).cast("long"))
+    keep = lined.columns
+    hashed = lined.select(*keep, F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 11), 16, 10).cast("long")).alias("hs"))
     # slice by slice: the hashes of the lines before, with 0 before the first
-    rolled = F.zip_with(hashed, F.concat(F.array(F.lit(0).cast("long")), F.slice(hashed, 1, F.size("_lines") - 1)), lambda a, b: (a + b * ROLL) % divisor)
-    flags = F.transform(rolled, lambda r, i: F.when((r == 0) | (i == F.size("_lines") - 1), i))
-    ends = F.filter(flags, lambda i: i.isNotNull())
-    befores = F.concat(F.array(F.lit(-1)), F.slice(ends, 1, F.size(ends) - 1))
-    return F.arrays_zip(F.transform(befores, lambda i: i + 1).alias("first"), ends.alias("last"))
+    rolled = F.zip_with("hs", F.concat(F.array(F.lit(0).cast("long")), F.slice("hs", 1, F.size("hs") - 1)), lambda a, b: (a + b * ROLL) % divisor)
+    flagged = hashed.select(*keep, F.size("hs").alias("n"), rolled.alias("rs")).select(*keep, F.transform("rs", lambda r, i: F.when((r == 0) | (i == F.col("n") - 1), i)).alias("flags"))
+    ended = flagged.select(*keep, F.filter("flags", lambda i: i.isNotNull()).alias("ends"))
+    befores = F.concat(F.array(F.lit(-1)), F.slice("ends", 1, F.size("ends") - 1))
+    bounds = ended.select(*keep, F.zip_with(befores, "ends", lambda a, b: F.struct((a + 1).alias("first"), b.alias("last"))).alias("all"))
+    return bounds.select(*keep, F.filter("all", lambda c: c["last"] > c["first"]).alias("chunks"))
+
+
+def _text(c: F.Column) -> F.Column:
+    return F.array_join(F.slice("lines", c["first"] + 1, c["last"] - c["first"] + 1), "\n")
 
 
-def dedup_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
+def dedup_chunks(docs: DataFrame, divisor: int = 4, counter: str = "n_removed_lines") -> DataFrame:
     """docs, with multi-line chunks that stand earlier in the table removed from text, and n_removed_lines added.
 
-    Lines are cut into chunks of `divisor` lines on average by _chunks. Chunks of two lines or more are grouped
+    Lines are cut into chunks of `divisor` lines on average by _chunked. Chunks of two lines or more are grouped
     by hash over the whole table; those of repeated hashes are compared byte by byte, by grouping on their text. Of
     equal chunks the one with the smallest (doc_id, line) stays, the rest go. Single lines stay, however often they
     repeat.
 
-    Hashes and texts are grouped with partial aggregation, so that a chunk of any number of copies is no hot spot; only
-    texts of repeated hashes are shuffled by chunk.
+    Hashes are written once, and hashes and texts are grouped with partial aggregation, so that a chunk of any number of
+    copies is no hot spot; only texts of repeated hashes are shuffled by chunk. Documents meet the lists of their repeated
+    chunks, and later of those that go, where they are as long as these lists are small enough to be sent to all; beyond
+    that they are exchanged, twice. Work grows with a text's lines.
 
-    A null text stays null, an empty text empty, both with 0 removed; a text all of whose lines go becomes empty. A
-    null doc_id ranks first. Rows with equal doc_id and text are treated alike, and other columns stay as they are; a
-    column named n_removed_lines is replaced. An empty table gives an empty result.
+    A null text stays null, an empty text empty, both with 0 removed; a text all of whose lines go becomes empty. Texts of
+    any length are read whole. A null doc_id ranks first. Rows with equal doc_id and text are treated alike. Other columns
+    stay as they are, whatever their names; one named like `counter` is replaced. An empty table gives an empty result.
     """
-    rows = docs.drop("n_removed_lines").withColumn("_h", F.xxhash64("text"))
-    # the bound on the number of lines that regexp-free counting gives spares texts of one line the rest
-    lined = rows.filter(F.instr("text", "\n") > 0).select("doc_id", "_h", F.split("text", "\n", -1).alias("_lines"))
-
-    def text_of(c: F.Column) -> F.Column:
-        return F.array_join(F.slice("_lines", c["first"] + 1, c["last"] - c["first"] + 1), "\n")
-
-    chunks = lined.select("doc_id", "_h", "_lines", F.explode(F.filter(_chunks(divisor), lambda c: c["last"] > c["first"])).alias("_c"))
-    chunks = chunks.select("doc_id", "_h", "_c", F.xxhash64(text_of(F.col("_c"))).alias("_ch"))
-    repeated = chunks.groupBy("_ch").agg(F.count("*").alias("_k")).filter("_k > 1").select("_ch")
-    found = chunks.join(repeated, "_ch").groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_fh")).agg(F.collect_list("_c").alias("_cs"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_fh"))
-    texts = rows.select("doc_id", "_h", "text").join(found, same).select("doc_id", "_h", F.split("text", "\n", -1).alias("_lines"), F.explode("_cs").alias("_c"))
-    texts = texts.select("doc_id", "_h", "_c", text_of(F.col("_c")).alias("_t"))
-    place = F.struct("doc_id", "_h", "_c")
-    firsts = texts.groupBy("_t").agg(F.min(place).alias("_first"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
-    gone = texts.join(firsts, "_t").filter(~place.eqNullSafe(F.col("_first")))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_fh")).agg(F.collect_set("_c").alias("_gone"))
-    joined = rows.join(gone, same, "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda c: (i >= c["first"]) & (i <= c["last"])))
-    lost = F.aggregate("_gone", F.lit(0).cast("long"), lambda a, c: a + c["last"] - c["first"] + 1)
-    columns = [F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_removed_lines"]
-    return joined.select(*columns, F.coalesce(lost, F.lit(0)).cast("long").alias("n_removed_lines"))
+    kept = [c for c in docs.columns if c.lower() != counter.lower()]
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"), F.struct(*[named(c).alias(c) for c in kept if c.lower() not in ("doc_id", "text")], F.lit(0).alias("_")).alias("row"))
+    # a text of one line has no chunk
+    lined = rows.filter(F.instr("text", "\n") > 0).select("id", "h", F.split("text", "\n", -1).alias("lines"))
+    chunks = _chunked(lined, divisor).select("id", "h", F.explode(F.transform("chunks", lambda c: F.struct(c.alias("c"), F.xxhash64(_text(c)).alias("ch")))).alias("x")).select("id", "h", "x.c", "x.ch")
+    chunks = materialize(chunks)
+    repeated = chunks.groupBy("ch").agg(F.count("*").alias("k")).filter("k > 1").select("ch")
+    found = materialize(chunks.join(repeated, "ch").groupBy(F.col("id").alias("fid"), F.col("h").alias("fh")).agg(F.collect_list("c").alias("cs")))
+    forget(chunks)
+    same = F.col("id").eqNullSafe(F.col("fid")) & F.col("h").eqNullSafe(F.col("fh"))
+    texts = lined.join(sent(found, F.size("cs") * 32 + 64), same).select("id", "h", F.explode(F.transform("cs", lambda c: F.struct(c.alias("c"), _text(c).alias("t")))).alias("x")).select("id", "h", "x.c", "x.t")
+    place = F.struct("id", "h", "c")
+    firsts = texts.groupBy("t").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    gone = texts.join(firsts, "t").filter(~place.eqNullSafe(F.col("first")))
+    gone = materialize(gone.groupBy(F.col("id").alias("fid"), F.col("h").alias("fh")).agg(F.array_sort(F.collect_set("c")).alias("gone")))
+    forget(found)
+    # the lines between the chunks that go, slice by slice
+    split = rows.join(sent(gone, F.size("gone") * 32 + 64), same, "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda c: c["last"] + 1))
+    stops = F.concat(F.transform("gone", lambda c: c["first"]), F.array(F.size("lines")))
+    cut = split.withColumn("spans", F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))))
+    text = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("lines", s["a"] + 1, s["n"]))), "\n")
+    lost = F.aggregate("gone", F.lit(0).cast("long"), lambda a, c: a + c["last"] - c["first"] + 1)
+    out = {"text": F.coalesce(text, F.col("text")), "doc_id": F.col("id")}
+    return cut.select(*[(out[c.lower()] if c.lower() in out else F.col("row").getField(c)).alias(c) for c in kept], F.coalesce(lost, F.lit(0)).cast("long").alias(counter))
 
 
 CHUNKS_SQL = """
