@@ -73,6 +73,11 @@ def zipf(df: DataFrame, text: str, lang: str) -> DataFrame:
     return words.join(total, "lang").select("lang", "word", F.round(F.log10(F.col("n") * 1e9 / F.col("_total")), 6).alias("zipf"))
 
 
+def content_words(gloss: Column, stopwords: tuple[str, ...]) -> Column:
+    """The words of a text that are not stop words."""
+    return F.array_except(F.filter(F.split(F.lower(gloss), r"\s+"), lambda w: w != ""), F.array(*map(F.lit, stopwords)))
+
+
 def smart_frequency(glosses: DataFrame, gloss: str, frequencies: DataFrame, stopwords: list[str], unknown: float = 1.5, all_stop: float = 5.0) -> DataFrame:
     """glosses with zipf: the largest frequency of a gloss's content words, up to its first bracket or slash.
 

@@ -76,25 +76,52 @@ def chrf(df: DataFrame, hyp: str, ref: str, row: str, keys: list[str] | None = N
     return means.select(*keys, F.round(score, 4).alias("chrf"))
 
 
-def _distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
+class _Distance:
+    """Edit distances of word lists to one list, all its columns at once as bits of an integer."""
+
+    def __init__(self, ref: list[str]) -> None:
+        self.n, self.full, self.top = len(ref), (1 << len(ref)) - 1, 1 << max(0, len(ref) - 1)
+        self.at: dict[str, int] = {}
+        for i, w in enumerate(ref):
+            self.at[w] = self.at.get(w, 0) | 1 << i
+        self.start = (self.full, 0, self.n)
+
+    def step(self, state: tuple[int, int, int], word: str) -> tuple[int, int, int]:
+        """Differences between neighbours of a column, up and down, and its last entry, one word on."""
+        if not self.n:
+            return 0, 0, state[2] + 1
+        up, down, score = state
+        same = self.at.get(word, 0)
+        flat = ((((same & up) + up) ^ up) | same) & self.full
+        plus, minus = down | (self.full & ~(flat | up)), up & flat
+        score += bool(plus & self.top) - bool(minus & self.top)
+        plus, minus = (plus << 1 | 1) & self.full, minus << 1 & self.full
+        both = same | down
+        return minus | (self.full & ~(both | plus)), plus & both, score
+
+    def states(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """The state before each word and after the last."""
+        out = [self.start]
+        for w in words:
+            out.append(self.step(out[-1], w))
+        return out
 
 
 def edits(hyp: str, ref: str, longest: int = 10) -> int:
-    """Edits that make hyp of ref's words, where moving a block of words that ref has too counts one: greedy best shifts first."""
+    """Edits that make hyp of ref's words, where moving a block of words that ref has too counts one: greedy best shifts first.
+
+    A block has at most `longest` words, as in the rate's common definition; longer ones move in parts. Candidates share the work on
+    the words before their first change.
+    """
     h, r = hyp.split(), ref.split()
-    best, moves = _distance(h, r), 0
+    measure, moves = _Distance(r), 0
+    spots: dict[tuple[str, ...], list[int]] = {}
+    for n in range(1, min(longest, len(r)) + 1):
+        for j in range(len(r) - n + 1):
+            spots.setdefault(tuple(r[j : j + n]), []).append(j)
     while True:
-        spots = {}
-        for n in range(1, min(longest, len(r)) + 1):
-            for j in range(len(r) - n + 1):
-                spots.setdefault(tuple(r[j : j + n]), []).append(j)
-        found = None
+        states = measure.states(h)
+        best, found = states[-1][2], None
         for i in range(len(h)):
             for n in range(1, min(longest, len(h) - i) + 1):
                 block = tuple(h[i : i + n])
@@ -104,12 +131,14 @@ def edits(hyp: str, ref: str, longest: int = 10) -> int:
                 for j in spots[block]:
                     if j != i and j <= len(rest):
                         moved = rest[:j] + list(block) + rest[j:]
-                        d = _distance(moved, r)
-                        if d + 1 < best and (found is None or d < found[0]):
-                            found = (d, moved)
+                        state = states[min(i, j)]
+                        for w in moved[min(i, j) :]:
+                            state = measure.step(state, w)
+                        if state[2] + 1 < best and (found is None or state[2] < found[0]):
+                            found = (state[2], moved)
         if found is None:
             return best + moves
-        best, h = found
+        h = found[1]
         moves += 1
 
 

@@ -40,16 +40,31 @@ def allocate(df: DataFrame, weight: str, total: int, order: str) -> DataFrame:
 
 
 def weighted_pick(draws: DataFrame, pool: DataFrame, weight: str, key: str, seed: str) -> DataFrame:
-    """Each draw with one row of the pool (its key), picked by integer weight: the inverse of the cumulative weights at a hashed number.
+    """Each draw with one row of the pool (its key), picked by weight: the inverse of the cumulative weights at a hashed number.
 
-    `draws` has draw. The pool is a dimension; its cumulative weights are ranges that the numbers fall into.
+    `draws` has draw. Integer weights are added up exactly, others as doubles. The pool is a dimension; its cumulative weights are
+    ranges that the numbers fall into, found by an equi-join of as many equal steps as the pool has rows. All weights zero count alike.
     """
-    one = Window.partitionBy(F.lit(0)).orderBy(key)
-    w = pool.select(key, clean_weight(F.col(weight)).cast("long").alias("_w"))
-    w = w.withColumn("_w", F.when(F.sum("_w").over(Window.partitionBy(F.lit(0))) == 0, F.lit(1).cast("long")).otherwise(F.col("_w")))
-    w = w.withColumn("_high", F.sum("_w").over(one)).withColumn("_low", F.col("_high") - F.col("_w")).withColumn("_total", F.sum("_w").over(Window.partitionBy(F.lit(0))))
-    at = draws.withColumn("_h", hashed(seed, F.col("draw")))
-    return at.join(w, (F.col("_h") % F.col("_total") >= F.col("_low")) & (F.col("_h") % F.col("_total") < F.col("_high"))).select("draw", key)
+    exact = pool.schema[weight].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    one = Window.partitionBy(F.lit(0))
+    w = pool.select(key, clean_weight(F.col(weight)).cast("long" if exact else "double").alias("_w"))
+    w = w.withColumn("_w", F.when(F.sum("_w").over(one) == 0, 1).otherwise(F.col("_w"))).filter("_w > 0")
+    w = w.withColumn("_high", F.sum("_w").over(one.orderBy(key))).withColumn("_low", F.lag("_high", 1, 0).over(one.orderBy(key)))
+    sums = w.agg(F.max("_high").alias("_total"), F.count("*").alias("_m"))
+
+    def step(c: str) -> Column:
+        return F.least(F.floor(F.col(c).cast("double") / F.col("_total") * F.col("_m")), F.col("_m") - 1)
+
+    # one row, that both sides may have
+    ranges = w.crossJoin(F.broadcast(sums)).withColumn("_step", F.explode(F.sequence(step("_low"), step("_high")))).drop("_total", "_m")
+    text = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string")))
+    if exact:
+        wide = F.conv(F.substring(text, 1, 15), 16, 10).cast("long")
+        number = F.when(F.col("_total") < 1 << 32, hashed(seed, F.col("draw"))).otherwise(wide) % F.col("_total")
+    else:
+        number = F.conv(F.substring(text, 1, 12), 16, 10).cast("double") / float(1 << 48) * F.col("_total")
+    at = draws.crossJoin(F.broadcast(sums)).withColumn("_at", number).withColumn("_step", step("_at"))
+    return at.join(ranges, "_step").filter("_at >= _low and _at < _high").select("draw", key)
 
 
 def uniform_pick(df: DataFrame, groups: list[str], key: str, seed: str) -> DataFrame:

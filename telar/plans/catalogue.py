@@ -488,8 +488,7 @@ def chrf_corpus(spark, sf_dir):
 
 @query()
 def ter_corpus(spark, sf_dir):
-    short = _scored(spark, sf_dir).select("tgt_lang", F.substring("src_text", 1, 160).alias("h"), F.substring("tgt_text", 1, 160).alias("r"))
-    return metrics.ter(short, "h", "r", ["tgt_lang"])
+    return metrics.ter(_scored(spark, sf_dir), "src_text", "tgt_text", ["tgt_lang"])
 
 
 @query(f"SELECT tgt_lang, count(*) FILTER (WHERE src_text = tgt_text) AS exact, count(*) AS n FROM {_BITEXT} GROUP BY tgt_lang")
@@ -552,12 +551,19 @@ def checkpoint_filter(spark, sf_dir):
 def stream_dedup_batches(spark, sf_dir):
     """A file stream of documents, batch by batch, keeps each text once; the batch that brought it is the first that has it."""
     import tempfile
+    import uuid
 
     from telar.streaming.dedup import append_new
 
-    root = tempfile.mkdtemp(prefix="telar-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{abs(hash(sf_dir))}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    root = f"{folder or tempfile.mkdtemp(prefix='telar-')}/stream-{uuid.uuid4().hex}"
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.mode("overwrite").parquet(f"{root}/in")
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     append_new(stream, "text", f"{root}/out", f"{root}/history", f"{root}/state", stop_after_empty=1 << 30)
     return spark.read.parquet(f"{root}/out").groupBy("text").agg(F.min(F.floor(F.col("doc_id") / 100)).alias("batch"))
+
+
+from telar.plans import goldens  # noqa: E402, F401  (registers its queries)

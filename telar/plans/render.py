@@ -107,23 +107,29 @@ def render(templates: DataFrame, nouns: DataFrame, verbs: DataFrame, adjectives:
         F.struct(F.col("a.agent_class").alias("NP"), F.col("t.theme_class").alias("THEME_NP"), F.col("g.goal_class").alias("GOAL_NP")).alias("classes"))
 
 
-def render_many(render_total, total: int, history: DataFrame | None = None, factor: int = 3) -> DataFrame:
-    """`total` distinct triples at most: more draws than needed, the new ones by English text, each triple once, in order of their draws.
+def render_many(render_total, total: int, history: DataFrame | None = None, factor: int = 3, most: int = 100) -> DataFrame:
+    """`total` distinct triples: more draws than needed, the new ones by English text, each triple once, in order of their draws.
 
-    render_total gives the draws for a number of them.
+    render_total gives the draws for a number of them. Where too few are new, four times as many are drawn, up to `most` for each
+    triple wanted; only then fewer come back.
     """
-    drawn = render_total(total * factor).withColumn("_order", F.struct("draw", "template_id"))
-    fresh = not_in_history(drawn, history, "en") if history is not None else drawn
-    return dedup(fresh, ["kek", "en", "es"], "_order").orderBy("_order").limit(total).drop("_order")
+    while True:
+        drawn = render_total(total * factor).withColumn("_order", F.struct("draw", "template_id"))
+        fresh = not_in_history(drawn, history, "en") if history is not None else drawn
+        out = dedup(fresh, ["kek", "en", "es"], "_order").orderBy("_order").limit(total).drop("_order")
+        if factor >= most or out.count() >= total:
+            return out
+        factor = min(most, 4 * factor)
 
 
-LABELS = "human kinship occupation animal_domesticated animal_wild insect plant fruit vegetable corn food beverage clothing tool artifact building vehicle place time body_part event substance container abstract".split()
+LABELS = "human kinship occupation animal_domesticated animal_wild insect plant fruit corn food beverage clothing container tool artifact building furniture vehicle body_part substance language emotion wood".split()
 FUNCTION_WORDS = {"li": "DET", "moko": "PART", "ta": "PART", "ma": "PART", "chi": "ADP", "eb'": "PART", "k'a'ut": "ADV", "b'ar": "ADV"}
 
 
 def label(noun_class: Column) -> Column:
     """BIO label of a noun class; O where it has none."""
-    return F.when(noun_class.isin(*LABELS), F.concat(F.lit("B-"), F.upper(noun_class))).otherwise("O")
+    c = F.regexp_replace(F.lower(F.trim(noun_class)), "^body part$", "body_part")
+    return F.when(c == "place", "B-LOCATION").when(c.isin(*LABELS), F.concat(F.lit("B-"), F.upper(F.translate(c, "_", "-")))).otherwise("O")
 
 
 def slot_tag(slot: Column, classes: Column) -> Column:
@@ -135,7 +141,7 @@ def slot_tag(slot: Column, classes: Column) -> Column:
 
     cls = F.when(noun == "THEME_NP", classes["THEME_NP"]).when(noun == "GOAL_NP", classes["GOAL_NP"]).otherwise(classes["NP"])
     return (F.when(slot.rlike(r"_E[NS](_|\})"), None).when(noun != "", tag("NOUN", label(cls))).when(slot.rlike(r"^\{V_(INTR|TR|DITR)(_(PST|FUT|PROG|FUT_PROG|PROG_FUT|IMP|IMP_NEG|PASS|PST_PASS|FUT_PASS))?(_PL)?\}$"), tag("VERB"))
-            .when(slot.rlike(r"^\{ADJ"), tag("ADJ")).when(slot.rlike(r"^\{ADV"), tag("ADV")).when(slot == "{NUM}", tag("NUM")).when(slot == "{NAME}", tag("PROPN", "B-HUMAN")).when(slot == "{PLACE}", tag("PROPN", "B-PLACE"))
+            .when(slot.rlike(r"^\{ADJ"), tag("ADJ")).when(slot.rlike(r"^\{ADV"), tag("ADV")).when(slot == "{NUM}", tag("NUM")).when(slot == "{NAME}", tag("PROPN")).when(slot == "{PLACE}", tag("PROPN", "B-LOCATION"))
             .when(slot.rlike(r"^\{(SUBJ|AFFIX)_PRONOUN\}$"), tag("PRON")).when(slot.rlike(r"^\{(NEG_|YN_Q)"), tag("PART")).when(slot.rlike(r"^\{(WH|COMP|EXIST)"), tag("X")))
 
 

@@ -22,18 +22,33 @@ def lexicon(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumns(texts | renamed)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found))
+
+
 def bitext(spark: SparkSession, paths: str | list[str], mode: str = "tolerant", limit: int | None = None) -> DataFrame:
     """JSON-lines records with dataset, the file's name without val_ and .jsonl.
 
-    tolerant: bad lines and those without a translation are left out; strict: they raise.
+    tolerant: bad lines and those without a translation are left out, and files that are not there have no lines; strict: both raise.
+    With `limit` the first lines stay, in the order of files and lines.
     """
+    if mode != "strict":
+        there = [p for p in ([paths] if isinstance(paths, str) else paths) if _exists(spark, p)]
+        if not there:
+            return spark.createDataFrame([], BITEXT + ", dataset string")
+        paths = there
     reader = spark.read.schema(BITEXT + ("" if mode == "strict" else ", _corrupt string"))
     if mode == "strict":
         df = reader.option("mode", "FAILFAST").json(paths)
     else:
         df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(paths).filter("_corrupt is null and translation is not null").drop("_corrupt")
     df = df.withColumn("dataset", F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.jsonl$", ""), "^val_", ""))
-    return df.limit(limit) if limit else df
+    if not limit:
+        return df
+    # within a partition rows follow the lines of its blocks
+    place = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+    return place.orderBy("_file", "_block", "_line").limit(limit).drop("_file", "_block", "_line")
 
 
 def training_log(lines: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:

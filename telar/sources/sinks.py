@@ -38,6 +38,26 @@ def write_split(df: DataFrame, path: str, mini: int = 1000, order: str = "line")
     records(df.filter("side = 'val'").orderBy(order).limit(mini)).write.mode("overwrite").json(f"{path}/val_mini")
 
 
+def flush_predictions(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Prediction rows (Prompt, Target, Prediction, Match) of each micro-batch as CSV in a folder of its own, which a rerun replaces."""
+    def flush(batch: DataFrame, number: int) -> None:
+        batch.select("Prompt", "Target", "Prediction", "Match").write.mode("overwrite").option("header", True).csv(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def append_log(rows: DataFrame, path: str, order: str, parameters: dict[str, object]) -> None:
+    """Rows of a training log as lines in order; before the first, the parameters as comments and the columns' names; total_* columns go."""
+    kept = [c for c in rows.columns if not c.startswith("total_")]
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/head")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        head = [f"# {k}: {v}" for k, v in parameters.items()] + ["# " + ",".join(kept)]
+        spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.text(f"{path}/head")
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in kept])
+    rows.orderBy(order).select(line.alias("value")).write.mode("append").text(f"{path}/rows")
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     """Rows of a metrics summary, numbers with four decimals."""
     out = df.select(*[F.format_string("%.4f", c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
