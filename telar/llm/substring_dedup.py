@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.llm._common import forget, materialize, sent
+
 
 def _normal(unit: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[ \t\r\n\f]+", " "))
@@ -24,9 +26,12 @@ def dedup_units(docs: DataFrame, separator: str = "\n", min_words: int = 5) -> D
 
     Digests of 128 bits are counted with partial aggregation, so that a line of any number of copies is no hot spot;
     the occurrences of repeated digests are then found by a join, which adaptive execution divides where it is skewed.
+    Documents meet the lists of their units that go where they are as long as these are small enough to be sent to all;
+    beyond that they are exchanged.
 
     A null text stays null, with 0 removed and kept_offsets null; an empty text is one empty unit, which stays. A text
-    all of whose units go becomes empty. A null doc_id ranks first. Rows with equal doc_id and text are treated alike.
+    all of whose units go becomes empty. Texts of any length are read whole. A null doc_id ranks first. Rows with equal
+    doc_id and text are treated alike.
     An empty table gives an empty result. Other columns are left out, whatever their names.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
@@ -34,10 +39,12 @@ def dedup_units(docs: DataFrame, separator: str = "\n", min_words: int = 5) -> D
     units = units.select("doc_id", "_h", "_pos", _normal(F.col("_unit")).alias("_u")).filter(F.size(F.split("_u", " ")) >= min_words)
     units = units.select("doc_id", "_h", "_pos", F.unhex(F.md5("_u")).alias("_d"))
     place = F.struct("doc_id", "_h", "_pos")
+    units = materialize(units)  # digested once
     repeated = units.groupBy("_d").agg(F.min(place).alias("_first"), F.count("*").alias("_k")).filter("_k > 1").select("_d", "_first")
     gone = units.join(repeated, "_d").filter(~place.eqNullSafe(F.col("_first")))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_gh")).agg(F.collect_set("_pos").alias("_gone"))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_gh")), "left").select("doc_id", "text", "_gone")
+    gone = materialize(gone.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_gh")).agg(F.collect_set("_pos").alias("_gone")))
+    forget(units)
+    joined = rows.join(sent(gone, F.size("_gone") * 4 + 64), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_gh")), "left").select("doc_id", "text", "_gone")
     width = len(separator)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
