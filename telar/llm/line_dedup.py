@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telar.llm._common import forget, materialize, named, sent
+from telar.llm._common import forget, fresh, materialize, named, sent
 
 #: A line's hash counts this much in the next line's rolling hash.
 ROLL = 31
@@ -51,7 +51,7 @@ def dedup_chunks(docs: DataFrame, divisor: int = 4, counter: str = "n_removed_li
     stay as they are, whatever their names; one named like `counter` is replaced. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() != counter.lower()]
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"), F.struct(*[named(c).alias(c) for c in kept if c.lower() not in ("doc_id", "text")], F.lit(0).alias("_")).alias("row"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"), F.struct(*[named(c).alias(c) for c in kept if c.lower() not in ("doc_id", "text")], F.lit(0).alias(fresh(docs, "none"))).alias("row"))
     # a text of one line has no chunk
     lined = rows.filter(F.instr("text", "\n") > 0).select("id", "h", F.split("text", "\n", -1).alias("lines"))
     chunks = _chunked(lined, divisor).select("id", "h", F.explode(F.transform("chunks", lambda c: F.struct(c.alias("c"), F.xxhash64(_text(c)).alias("ch")))).alias("x")).select("id", "h", "x.c", "x.ch")

@@ -481,6 +481,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Dat
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(~_judge(_loaded(packed, name), name, b.column(b.schema.get_field_index("text")))[2]))
+            yield b.filter(pa.array(~_judge(_loaded(packed, name), name, b.column(at))[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # by number, as names may have dots
+    at, plain = [c.lower() for c in docs.columns].index("text"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

@@ -84,3 +84,62 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c")] * 4 + [(None, "a b c d e")], "doc_id long, text string")
     out = best_fit_pack(df, 8).collect()
     assert len(out) == 5 and len({(r["bin_id"], r["bin_offset"]) for r in out}) == 5
+
+
+def brute_plan(counts):
+    """The method one bin at a time, by trying all lengths: a single one that fills the gap, then pairs, then triples, the longest first."""
+    left, cap = [int(x) for x in counts], len(counts)
+    bins, rest = [], []
+    for length in range(cap - 1, 0, -1):
+        while left[length]:
+            left[length] -= 1
+            gap, found = cap - length, None
+            if left[gap]:
+                found = (gap,)
+            for a in range(gap - 1, 0, -1):
+                if not found and 2 * a >= gap and left[a] and left[gap - a] > (2 * a == gap):
+                    found = (a, gap - a)
+            for x in range(gap - 2, 0, -1):
+                if not found and left[x]:
+                    left[x] -= 1
+                    for a in range(gap - x - 1, 0, -1):
+                        if not found and 2 * a >= gap - x and left[a] and left[gap - x - a] > (2 * a == gap - x):
+                            found = (x, a, gap - x - a)
+                    left[x] += 1
+            if not found:
+                rest += [length] * (left[length] + 1)
+                left[length] = 0
+                break
+            for y in found:
+                left[y] -= 1
+            bins.append((length, *found))
+    open_ = []
+    for x in rest:
+        fits = [b for b in open_ if cap - sum(b) >= x]
+        (min(fits, key=lambda b: cap - sum(b)) if fits else open_.append([]) or open_[-1]).append(x)
+    return sorted(tuple(sorted(b)) for b in [*bins, *open_])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 15), max_size=60))
+def test_plan_by_brute_force(lengths):
+    counts = np.bincount(np.array(lengths, int), minlength=16)
+    got, want = [tuple(sorted(b)) for b, k in plan(counts) for _ in range(k)], brute_plan(counts)
+    assert len(got) == len(want) and sorted(b for b in got if sum(b) == 16) == sorted(b for b in want if sum(b) == 16)
+
+
+def test_query_by_brute_force(spark, sf_dir):
+    """The bins of the registered query hold the lengths that the brute-force plan puts together."""
+    from telar.llm.packing import TOKEN
+    from telar.llm.queries import QUERIES
+
+    sizes = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.regexp_count("text", F.lit(TOKEN))).collect()]
+    want = brute_plan(np.bincount([n % 2048 for n in sizes if n % 2048], minlength=2048))
+    bins = {}
+    for r in QUERIES["op1_best_fit_packing"](spark, sf_dir).collect():
+        if r["bin_id"] is not None:
+            bins.setdefault(r["bin_id"], []).append(r["n_tokens"])
+    full = sum(n // 2048 for n in sizes)
+    got = sorted(tuple(sorted(b)) for b in bins.values())
+    assert len(got) == len(want) + full
+    assert [b for b in got if sum(b) == 2048 and len(b) > 1] == [b for b in want if sum(b) == 2048]
