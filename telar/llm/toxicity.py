@@ -399,7 +399,9 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> bytes:
         model = train([x[1] for x in rows], [int(x[2] > 0) for x in rows])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model and model.judge())], pa.binary())], names=["model"])
 
-    return bytes(texts.coalesce(1).mapInArrow(learn, "model binary").first()[0])
+    # a plan found to have no rows runs no task
+    row = texts.coalesce(1).mapInArrow(learn, "model binary").first()
+    return bytes(row[0]) if row else pickle.dumps(None)
 
 
 def _judge(model: Model | None, name: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,6 @@
 from collections import Counter
 
 import corpus_pipeline
-import pytest
 
 from telar.llm._common import read_table
 from telar.llm.packing import TOKEN
@@ -61,11 +60,10 @@ def test_nulls_and_empty(spark, sf_dir):
     docs = spark.createDataFrame([(1, None, None, None, None), (None, "a b\nc d\n", "en", "s", 8), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, "x " * 200_000, "en", "s", 4)], schema)
     got = stages(spark, docs, sf_dir)
     assert got[3].count() == 5
-    assert got[-1].count() >= 0
+    assert {r["doc_id"] for r in got[-1].collect()} == {r["doc_id"] for r in got[-2].collect()}
     for x in stages(spark, docs.filter("false"), sf_dir)[1:]:
         assert x.count() == 0
 
 
-@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_duplicates", "mixing", "packing"])
-def test_order(name):
-    assert name in [k for k, _ in corpus_pipeline.STAGES]
+def test_order():
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "mixing", "packing"]
