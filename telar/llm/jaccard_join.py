@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,12 +17,18 @@ from telar.llm._common import forget, grouped, materialize, planes, whole
 from telar.llm._words import chunks, gram_hashes, hash_spans, mix, spans
 from telar.llm.components import components, forest
 
-#: Counters of the sketches of words and of n-grams.
-WORD_BITS, GRAM_BITS = 21, 23
+#: Counters of the sketch of words.
+WORD_BITS = 21
+#: Bits of an n-gram's hash by which it is counted.
+COUNT_BITS = 40
+#: N-grams in more texts than this may be listed as frequent; of more than FREQUENT such n-grams the most frequent are.
+LEAST, FREQUENT = 8, 1 << 21
 #: Counters of a slice of a sketch.
 SLICE_BITS = 15
-#: Prefix n-grams that a part of their exchange has, about.
-PART = 1 << 22
+#: Prefix n-grams that are joined at once, about, and how many times as many a part of their exchange has.
+PART, TIMES = 1 << 22, 4
+#: Bytes of text whose n-grams are counted together, about.
+COUNTED = 16 << 20
 #: N-grams of more sets than this link them by a star, others by pairs.
 HOT = 64
 #: Bytes of a Bloom filter of candidates that may be broadcast; beyond, all sets are exchanged.
@@ -40,29 +46,34 @@ def _distinct(g: np.ndarray) -> np.ndarray:
 class Order:
     """A total order of n-grams, the rare first, the same in every document.
 
-    An n-gram's frequency is expected from those of its words as if they met by chance; where a sketch of n-grams counts
-    well more than its counters' mean, as for a passage that many documents share, that count holds if it is larger.
+    Frequent n-grams are listed by a byte for each slot of their hashes and follow their counts over all texts, which are
+    exact but for collisions of hashes. The others come before them, by the frequency expected from those of their words as
+    if they met by chance.
     """
 
-    def __init__(self, tokens: float, grams: float, n: int) -> None:
-        """tokens and grams: how many words and distinct n-grams of a text the sketches counted in all."""
-        self.tokens, self.twice, self.n = max(1, int(tokens)), 2 * grams / (1 << GRAM_BITS), n
+    def __init__(self, tokens: float, n: int, bits: int, least: int) -> None:
+        """tokens: how many words there are in all; bits: of the slots; least: the level of the least frequent that are listed."""
+        self.tokens, self.n, self.bits, self.least = max(1, int(tokens)), n, bits, least
         # in fifths of a power of two; words that were not met are as rare as those met once
         self.total = int(round(5 * np.log2(self.tokens)))
         self.word = np.full(1 << WORD_BITS, min(255, self.total), np.uint8)
-        self.gram = np.zeros(1 << GRAM_BITS, np.uint8)
+        self.gram = np.zeros(1 << bits, np.uint8)
 
     @staticmethod
-    def levels(at: int, counts: np.ndarray, tokens: int, twice: float) -> np.ndarray:
-        """A byte for each counter of a slice: what take keeps."""
-        if at >> 20:
-            above = counts - twice
-            return np.where(above > 0, np.round(5 * np.log2(np.maximum(above, 1)) + 100).clip(0, 255), 0).astype(np.uint8)
+    def levels(counts: np.ndarray, tokens: int) -> np.ndarray:
+        """A byte for each counter of a slice of words: what take keeps."""
         return np.round(5 * np.log2(tokens / np.maximum(counts, 1))).clip(0, 255).astype(np.uint8)
 
+    @staticmethod
+    def level(counts: np.ndarray) -> np.ndarray:
+        """The places in the order of n-grams with these counts."""
+        return np.round(5 * np.log2(counts) + 100).clip(0, 255).astype(np.uint64)
+
     def take(self, at: int, levels: bytes) -> None:
-        i = at & (1 << 20) - 1
-        (self.gram if at >> 20 else self.word)[i << SLICE_BITS : i + 1 << SLICE_BITS] = np.frombuffer(levels, np.uint8)
+        self.word[at << SLICE_BITS : at + 1 << SLICE_BITS] = np.frombuffer(levels, np.uint8)
+
+    def list(self, gram: np.ndarray, level: np.ndarray) -> None:
+        np.maximum.at(self.gram, (gram >> np.uint64(COUNT_BITS - self.bits)).astype(np.int64), level.astype(np.uint8))
 
     def keys(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The distinct n-grams of each text, as numbers that follow the order."""
@@ -79,7 +90,7 @@ class Order:
                 chance = self.total - by_word[a : b - m + 1]
                 for i in range(1, m):
                     chance -= by_word[a + i : b - m + 1 + i]
-                rank = np.maximum(chance + 100, self.gram[(g >> np.uint64(64 - GRAM_BITS)).astype(np.int64)]).clip(0, 255).astype(np.uint64)
+                rank = np.maximum((chance + 100).clip(0, self.least - 1), self.gram[(g >> np.uint64(64 - self.bits)).astype(np.int64)]).astype(np.uint64)
                 yield _distinct(rank << np.uint64(56) | g & _LOW)
 
 
@@ -88,55 +99,98 @@ def _prefix(size: int, t: float) -> int:
     return size - math.ceil(t * size - 1e-9) + 1 if size else 0
 
 
-def _sketch(texts: DataFrame, n: int) -> Order:
-    """Counts of words and of n-grams in tables of fixed size, over all texts."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(1 << bits, np.uint32) for bits in (WORD_BITS, GRAM_BITS)]
-        held, size = ([], []), 0
+def _order(texts: DataFrame, n: int) -> Order:
+    """The order that follows from a sketch of the words, of fixed size, and from the counts of the n-grams of all texts."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(16, -(-size // COUNTED))
+    spread = np.array([-(-(i << COUNT_BITS) // parts) for i in range(parts + 1)], np.uint64)
 
-        def add_up() -> None:
-            for t, x in zip(total, held):
-                at = np.sort(np.concatenate(x))
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
-                t[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
-                x.clear()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << WORD_BITS, np.uint32)
+        words, grams, size = [], [], 0
+
+        def row(at: list[int], counts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts, pa.binary())], names=["slice", "counts"])
+
+        def add_up() -> Iterator[pa.RecordBatch]:
+            nonlocal words, grams, size
+            at = np.sort(np.concatenate(words))
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+            total[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
+            g = np.sort(np.concatenate(grams))
+            cut = np.searchsorted(g, spread)
+            there = np.flatnonzero(np.diff(cut)).tolist()
+            words, grams, size = [], [], 0
+            # sorted, so that differences are small
+            yield row([1 << 20 | q for q in there], [planes(np.diff(g[cut[q] : cut[q + 1]], prepend=np.uint64(0))) for q in there])
 
         for b in batches:
             for _, _, data, offsets in chunks(b.column(0)):
                 s, e, first = spans(data, offsets)
                 h = hash_spans(data, s, e)
-                held[0].append((h >> np.uint64(64 - WORD_BITS)).astype(np.int32))
-                held[1].append((np.concatenate([np.zeros(0, np.uint64), *map(_distinct, gram_hashes(h, first, n))]) >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
+                words.append((h >> np.uint64(64 - WORD_BITS)).astype(np.int32))
+                grams.append(np.concatenate([np.zeros(0, np.uint64), *map(_distinct, gram_hashes(h, first, n))]) >> np.uint64(64 - COUNT_BITS))
                 size += len(h)
                 if size > 2_000_000:
-                    add_up()
-                    size = 0
+                    yield from add_up()
         if size:
-            add_up()
-        for kind, counts in enumerate(total):
-            for i, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([kind << 20 | i], pa.int32()), pa.array([planes(part)])], names=["slice", "counts"])
+            yield from add_up()
+        for i, part in enumerate(total.reshape(-1, 1 << SLICE_BITS)):
+            if part.any():
+                yield row([i], [planes(part)])
 
     def add(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLICE_BITS, np.int64)
-        for x in table["counts"].to_pylist():
-            total += whole(x, np.uint32)
-        yield pa.RecordBatch.from_arrays([table["slice"].combine_chunks().slice(0, 1), pa.array([planes(total)]), pa.array([float(total.sum())])], names=["slice", "counts", "total"])
+        at = table["slice"][0].as_py()
+        if at >> 20:
+            g = np.sort(np.concatenate([np.cumsum(whole(x, np.uint64), dtype=np.uint64) for x in table["counts"].to_pylist()]))
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            counts = np.diff(np.append(first, len(g)))
+            often = counts > LEAST
+            level = Order.level(counts[often])
+            kept = np.bincount(level.astype(np.int64), minlength=256)
+            out = [(at, planes(kept), float(len(g))), (at + (1 << 20), planes(g[first[often]] << np.uint64(8) | level), 0.0)]
+        else:
+            total = np.zeros(1 << SLICE_BITS, np.int64)
+            for x in table["counts"].to_pylist():
+                total += whole(x, np.uint32)
+            out = [(at, planes(total), float(total.sum()))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.float64()))], names=["slice", "counts", "total"])
 
     counted = materialize(grouped(texts.select("text").mapInArrow(count, "slice int, counts binary"), ["slice"], add, "slice int, counts binary, total double"))
-    totals = dict(counted.groupBy(F.shiftright("slice", 20).alias("kind")).agg(F.sum("total")).collect())
-    order = Order(totals.get(0, 0), totals.get(1, 0), n)
-    tokens, twice = order.tokens, order.twice
+    kind = F.shiftright("slice", 20)
+    totals = dict(counted.groupBy(kind).agg(F.sum("total")).collect())
+    tokens = max(1, int(totals.get(0, 0)))
 
-    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
         for b in batches:
-            at = b.column("slice")
-            yield pa.RecordBatch.from_arrays([at, pa.array([Order.levels(i, whole(x, np.int64), tokens, twice).tobytes() for i, x in zip(at.to_pylist(), b.column("counts").to_pylist())], pa.binary())], names=["slice", "levels"])
+            for x in b.column(0).to_pylist():
+                total += whole(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["kept"])
 
-    # a byte for each counter: as much for every input
-    for at, levels in counted.select("slice", "counts").mapInArrow(level, "slice int, levels binary").collect():
-        order.take(at, levels)
+    kept = np.sum([np.frombuffer(r[0], np.int64) for r in counted.filter(kind == 1).select("counts").mapInArrow(summed, "kept binary").collect()] or [np.zeros(256, np.int64)], axis=0)
+    above = np.cumsum(kept[::-1])[::-1]
+    least = max(int(Order.level(np.array([LEAST + 1]))[0]), int(np.argmax(above <= FREQUENT)))
+    order = Order(tokens, n, max(16, min(25, int(16 * above[least]).bit_length())), least)
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for at, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist()):
+                if at >> 20:
+                    x = whole(x, np.uint64)
+                    out.append(x[x & np.uint64(255) >= least].tobytes())
+                else:
+                    out.append(Order.levels(whole(x, np.int64), tokens).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("slice"), pa.array(out, pa.binary())], names=["slice", "levels"])
+
+    # a byte for each counter, 8 for each of at most FREQUENT n-grams
+    for at, levels in counted.filter(kind != 1).select("slice", "counts").mapInArrow(level, "slice int, levels binary").toLocalIterator():
+        if at >> 20:
+            x = np.frombuffer(levels, np.uint64)
+            order.list(x >> np.uint64(8), x & np.uint64(255))
+        else:
+            order.take(at, levels)
     forget(counted)
     return order
 
@@ -286,14 +340,14 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast, parts: int) -> Data
                     size += counts[-1]
                 if held and (key is None or size > 1_000_000):
                     token = mix(np.concatenate(held))
-                    part = (token % np.uint64(parts)).astype(np.int64)
+                    part = (token % np.uint64(parts * TIMES)).astype(np.int64)
                     own, n = np.array(sigs, "<i8"), np.array(sizes, np.uint32)
                     rows = []
-                    for q, (tokens, which) in _packed(part, parts, [(token >> np.uint64(32)).astype("<u4"), np.repeat(np.arange(len(sigs)), counts)]):
+                    for q, (tokens, which) in _packed(part, parts * TIMES, [(token >> np.uint64(32)).astype("<u4"), np.repeat(np.arange(len(sigs)), counts)]):
                         w = np.frombuffer(which, np.int64)
                         f = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                        rows.append((q, tokens, own[w[f]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), planes(n[w[f]]), planes(np.diff(np.append(f, len(w))).astype(np.uint32))))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["part", "tokens", "sigs", "sizes", "counts"])
+                        rows.append((q // TIMES, q % TIMES, tokens, own[w[f]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), planes(n[w[f]]), planes(np.diff(np.append(f, len(w))).astype(np.uint32))))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["part", "piece", "tokens", "sigs", "sizes", "counts"])
                     held, sigs, sizes, counts, size = [], [], [], [], 0
 
     def flat(table: pa.Table, column: str) -> bytes:
@@ -302,7 +356,8 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast, parts: int) -> Data
     def unpacked(table: pa.Table, column: str, kind: type) -> np.ndarray:
         return np.concatenate([whole(x, kind) for x in table[column].to_pylist()])
 
-    def link(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both ends of stars and loops, and (sig, sig, size, size, count) of pairs that share n-grams of a piece."""
         token, runs = np.frombuffer(flat(table, "tokens"), "<u4"), unpacked(table, "counts", np.uint32)
         sig = np.zeros((len(runs), 8), np.uint8)
         sig[:, :6] = np.frombuffer(flat(table, "sigs"), np.uint8).reshape(-1, 6)
@@ -325,26 +380,36 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast, parts: int) -> Data
         least = np.repeat(sig[first], length)
         a, b = forest(sig[hot], least[hot])
         a, b = np.concatenate([a, loops]), np.concatenate([b, loops])
-        if len(a):
-            # stars need no counting, and stay spread
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(mix(a[:1].astype(np.uint64))[0] % np.uint64(1024))], pa.int32()), *[pa.array([planes(x)]) for x in (a, b)], pa.array([b""]), pa.array([b""])], names=["part", "a", "b", "counts", "sizes"])
         run, sig, n = run[~hot], sig[~hot], n[~hot]
-        pairs = []
+        pairs = [np.zeros((0, 5), np.int64)]
         for d in range(1, HOT):
             i = np.flatnonzero(run[d:] == run[:-d])
             if not len(i):
                 break
             i = i[np.minimum(n[i], n[i + d]) >= t * np.maximum(n[i], n[i + d]) - 1e-9]
-            pairs.append(np.column_stack([sig[i], sig[i + d], n[i], n[i + d]]))
-        if not pairs:
-            return
-        pairs = np.concatenate(pairs)
+            pairs.append(np.column_stack([sig[i], sig[i + d], n[i], n[i + d], np.ones(len(i), np.int64)]))
+        return a, b, summed(np.concatenate(pairs))
+
+    def summed(pairs: np.ndarray) -> np.ndarray:
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         first = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))) if len(pairs) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(pairs)))
-        pairs = pairs[first]
+        out = pairs[first]
+        out[:, 4] = np.add.reduceat(pairs[:, 4], first) if len(first) else 0
+        return out
+
+    def link(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        # a pair counted over all pieces of a part is passed on once
+        pieces = table["piece"].to_numpy()
+        a, b, pairs = zip(*[joined(table.take(np.flatnonzero(pieces == q))) for q in np.unique(pieces).tolist()])
+        a, b, pairs = np.concatenate(a), np.concatenate(b), summed(np.concatenate(pairs))
+        if len(a):
+            loops = np.unique(a[a == b])
+            a, b = forest(a, b)
+            a, b = np.concatenate([a, loops]), np.concatenate([b, loops])
+            # stars need no counting, and stay spread
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(mix(a[:1].astype(np.uint64))[0] % np.uint64(1024))], pa.int32()), *[pa.array([planes(x)]) for x in (a, b)], pa.array([b""]), pa.array([b""])], names=["part", "a", "b", "counts", "sizes"])
         part = (mix(pairs[:, 0].astype(np.uint64) * np.uint64(3) + pairs[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        rows = [(q, *x) for q, x in _packed(part, parts, [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), count.astype(np.uint32), pairs[:, 2:].astype(np.uint32)], planes)]
+        rows = [(q, *x) for q, x in _packed(part, parts, [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), pairs[:, 4].astype(np.uint32), pairs[:, 2:4].astype(np.uint32)], planes)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["part", "a", "b", "counts", "sizes"])
 
@@ -359,7 +424,7 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast, parts: int) -> Data
             a, b = a[first][good], b[first][good]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    posted = texts.select("text").mapInArrow(emit, "part int, tokens binary, sigs binary, sizes binary, counts binary")
+    posted = texts.select("text").mapInArrow(emit, "part int, piece int, tokens binary, sigs binary, sizes binary, counts binary")
     linked = grouped(posted, ["part"], link, "part int, a binary, b binary, counts binary, sizes binary")
     edges = materialize(grouped(linked, ["part"], keep, "a long, b long"))
     joined = components(edges).select(F.col("node").alias("short"), F.col("component").alias("comp"))
@@ -369,12 +434,16 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast, parts: int) -> Data
     return out
 
 
-def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """(comp, bi, bj, side, doc_id, sig, keys): the documents of each component, once for each pair of its blocks."""
-    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.lower("text").alias("text")).filter("doc_id is not null and text is not null")
+def _gathered(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, sig, n, w, task, keys) of every row, and the candidates).
+
+    sig is null where the set is similar to no other for certain; keys has the set, once in each task for rows of equal sets.
+    """
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    texts = rows.filter("doc_id is not null and text is not null")
     spark = docs.sparkSession
-    order = _sketch(texts, n)
-    parts, rank = max(16, order.tokens // PART), spark.sparkContext.broadcast(order)
+    order = _order(texts, n)
+    parts, rank = max(16, order.tokens // (PART * TIMES)), spark.sparkContext.broadcast(order)
     del order
     comps = _candidates(texts, t, rank, parts)
     count = comps.count()
@@ -385,41 +454,54 @@ def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_of, filter_ = rank.value, bloom.value if bloom is not None else None
+        task, seen = TaskContext.get().partitionId(), set()
         for b in batches:
-            ids, out, size, seen = b.column("doc_id").to_pylist(), [], 0, set()
+            ids, out, size = b.column("doc_id").to_pylist(), [], 0
 
-            def flush() -> Iterator[pa.RecordBatch]:
-                sig = np.array([x[1] for x in out], np.int64)
-                keep = np.flatnonzero(filter_.has(_short(sig))) if filter_ is not None else np.arange(len(out))
+            def flush() -> pa.RecordBatch:
+                known = np.array([k is not None for _, _, k in out])
+                if filter_ is not None:
+                    known &= filter_.has(_short(np.array([s for _, s, _ in out], np.int64)))
                 rows = []
-                for i in keep.tolist():
-                    d, s, key = out[i]
+                for (d, s, key), there in zip(out, known.tolist()):
+                    if not there:
+                        rows.append((d, None, None, None, task, None))
+                        continue
                     first = s not in seen
                     seen.add(s)
                     # without their ranks, which every pair of blocks finds anew: 56 bits, whose differences are packed
-                    rows.append((d, s, len(key), 1 + len(key) * first, planes(np.diff(np.sort(key & _LOW), prepend=np.uint64(0))) if first else None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (*[pa.int64()] * 4, pa.binary()))], names=["doc_id", "sig", "n", "w", "keys"])
+                    rows.append((d, s, len(key), 1 + len(key) * first, task, planes(np.diff(np.sort(key & _LOW), prepend=np.uint64(0))) if first else None))
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (*[pa.int64()] * 4, pa.int32(), pa.binary()))], names=["doc_id", "sig", "n", "w", "task", "keys"])
 
             for d, key in zip(ids, order_of.keys(b.column("text"))):
-                if len(key):
-                    out.append((d, _signature(key), key))
-                    size += len(key)
+                out.append((d, _signature(key), key) if len(key) and d is not None else (d, 0, None))
+                size += len(key)
                 if size > 1_000_000:
-                    yield from flush()
+                    yield flush()
                     out, size = [], 0
             if out:
-                yield from flush()
+                yield flush()
 
-    # the sets are moved twice, to their rows' blocks and to the blocks' pairs; where they go is worked out without them
-    sets = materialize(texts.mapInArrow(gather, "doc_id long, sig long, n long, w long, keys binary"))
+    # the sets are moved to the pairs of their blocks; which these are is worked out without them
+    sets = materialize(rows.mapInArrow(gather, "doc_id long, sig long, n long, w long, task int, keys binary"))
     rank.destroy()
     if bloom is not None:
         bloom.destroy()
-    sized = sets.groupBy("sig").agg(F.max("n").alias("n"), F.sum("w").alias("_w"))
-    each = sized.withColumn("short", F.shiftright("sig", 15)).join(comps, "short").select("comp", "sig", "n", "_w")
+    return sets, comps
+
+
+def _blocked(sized: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows (sig, n, _w) of the sets with their components and blocks there, in order of their lengths."""
+    each = sized.withColumn("short", F.shiftright("sig", 15)).join(comps, "short").drop("short")
     within = Window.partitionBy("comp").orderBy("n", "sig").rowsBetween(Window.unboundedPreceding, -1)
-    blocked = materialize(each.withColumn("_b", F.coalesce(F.sum("_w").over(within) / BLOCK, F.lit(0.0)).cast("int")))
+    return materialize(each.withColumn("_b", F.coalesce(F.sum("_w").over(within) / BLOCK, F.lit(0.0)).cast("int")))
+
+
+def _blocks(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """(comp, bi, bj, side, doc_id, sig, keys): the documents of each component, once for each pair of its blocks."""
+    sets, comps = _gathered(docs, n, t)
+    sets = sets.filter("sig is not null")
+    blocked = _blocked(sets.groupBy("sig").agg(F.max("n").alias("n"), F.sum("w").alias("_w")), comps)
     forget(comps)
     return sets.join(_paired(blocked, t), "sig").select("comp", "bi", "bj", "side", "doc_id", "sig", "keys")
 
@@ -514,34 +596,86 @@ def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFr
     return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def _classes(docs: DataFrame, n: int, t: float, count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, sig) of every row, (sig, owner_id, n_links) of every set that is similar to another or of several rows).
+
+    Of rows with equal sets one stands for all where sets are compared, so that copies cost nothing there. Without count
+    n_links is not to be used.
+    """
+    sets, comps = _gathered(docs, n, t)
+    there = F.col("keys").isNotNull()
+    sized = sets.filter("sig is not null").groupBy("sig").agg(F.max("n").alias("n"), F.count("*").alias("m"), F.min("doc_id").alias("least"), F.min(F.when(there, F.col("task"))).alias("task"))
+    blocked = _blocked(sized.withColumn("_w", F.col("n") + 1), comps)
+    forget(comps)
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, sig, m = (table[c].to_numpy() for c in ("side", "sig", "m"))
+        order = np.lexsort((sig, side))
+        side, sig, m = side[order], sig[order], m[order]
+        keys = table["keys"].combine_chunks().take(pa.array(order))
+        split = int((side == 0).sum())
+        links, a, b = np.zeros(len(sig), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, ys, _ in _similar([np.cumsum(whole(k.as_py(), np.uint64), dtype=np.uint64) for k in keys], t, split if split < len(sig) else None):
+            links[x] += m[ys].sum()
+            links[ys] += m[x]
+            a.append(sig[ys])
+            b.append(np.full(len(ys), sig[x]))
+            if len(a) > 1000:
+                a, b = ([v] for v in forest(np.concatenate(a), np.concatenate(b)))
+        p, q = forest(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.nulls(len(p), pa.int64())], names=["a", "b", "k"])
+        if count:
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(links[some])], names=["a", "b", "k"])
+
+    where = _paired(blocked, t).join(blocked.select("sig", "m", "task"), "sig")
+    held = sets.filter(there).select("sig", "task", "keys").join(where, ["sig", "task"]).select("comp", "bi", "bj", "side", "sig", "m", "keys")
+    found = materialize(grouped(held, ["comp", "bi", "bj"], compare, "a long, b long, k long"))
+    linked = components(found.filter("b is not null")).select(F.col("node").alias("sig"), "component")
+    counts = found.filter("b is null").groupBy(F.col("a").alias("sig")).agg(F.sum("k").alias("k"))
+    each = materialize(blocked.select("sig", "m", "least").join(linked, "sig", "left").join(counts, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
+    owners = each.groupBy("component").agg(F.min("least").alias("owner_id"))
+    forget(found)
+    return sets.select("doc_id", "sig"), each.join(owners, "component").select("sig", "owner_id", (F.coalesce("k", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, owner_id, n_links) of every row: the smallest doc_id connected with it by similar pairs, and its links.
+
+    Similarity, order and search are those of jaccard_pairs. n_links counts the other rows whose sets are similar to the
+    row's, its copies among them; no pair is listed, so there are as many rows as in the table. Rows of equal sets are
+    compared as one. owner_id is the row's own doc_id where it has no links.
+
+    Rows are taken one by one, repeated or not. Null, empty and wordless texts have no links, nor has a row with a null
+    doc_id, or one that is no integer of 64 bits, whose doc_id and owner_id are null. Texts of any length are read whole. An
+    empty table gives an empty result. Other columns are left out.
+    """
+    rows, classes = _classes(docs, n, threshold)
+    alone = rows.filter("sig is null").select("doc_id", F.col("doc_id").alias("owner_id"), F.lit(0).cast("long").alias("n_links"))
+    return rows.filter("sig is not null").join(classes, "sig", "left").select("doc_id", F.coalesce("owner_id", "doc_id").alias("owner_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).union(alone)
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """(doc_id, owner_id): every document that is connected by similar pairs with one of smaller doc_id, and the smallest.
 
     Pairs are those of jaccard_pairs, with its treatment of nulls; they are not listed but joined into groups where they
     are found, so that a group of m documents makes m - 1 rows.
     """
-
-    def connect(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        sets, ids, split = _members(table)
-        a, b = [], []
-        for x in ids:
-            a.append(x[1:])
-            b.append(np.full(len(x) - 1, x[0]))
-        for x, ys, _ in _similar(sets, threshold, split if split < len(sets) else None):
-            a.append(np.array([ids[y][0] for y in ys.tolist()]))
-            b.append(np.full(len(ys), ids[x][0]))
-        p, q = forest(np.concatenate(a), np.concatenate(b))
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["a", "b"])
-
-    edges = grouped(_blocks(docs, n, threshold), ["comp", "bi", "bj"], connect, "a long, b long")
+    rows, classes = _classes(docs, n, threshold, count=False)
+    # documents of several texts connect the classes of these
+    edges = rows.filter("sig is not null").join(classes, "sig").select(F.col("doc_id").alias("a"), F.col("owner_id").alias("b"))
     return components(edges).filter("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("owner_id"))
 
 
-PAIRS_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS words FROM documents),
-g AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS gram FROM w),
-s AS (SELECT DISTINCT doc_id, gram FROM g),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE shared / (x.n + y.n - shared) >= 0.5 - 1e-12
+CLASSES_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, TRY_CAST(doc_id AS BIGINT) AS doc_id, text FROM documents),
+w AS (SELECT r, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS words FROM d WHERE doc_id IS NOT NULL),
+g AS (SELECT r, unnest(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS gram FROM w),
+s AS MATERIALIZED (SELECT DISTINCT r, gram FROM g),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.r <> b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE shared / (x.n + y.n - shared) >= 0.5 - 1e-12),
+c AS (SELECT r AS a, r AS b FROM d UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+o AS (SELECT c.a AS r, min(d.doc_id) AS owner_id FROM c JOIN d ON d.r = c.b GROUP BY c.a)
+SELECT d.doc_id, owner_id, (SELECT count(*) FROM l WHERE l.a = d.r) AS n_links FROM d JOIN o USING (r)
 """

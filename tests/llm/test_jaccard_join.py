@@ -1,11 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from telar.llm import jaccard_join
 from telar.llm.components import components, forest
-from telar.llm.jaccard_join import _similar, jaccard_pairs, near_duplicates
+from telar.llm.jaccard_join import _similar, jaccard_classes, jaccard_pairs, near_duplicates
 
 
 def words(text):
@@ -105,3 +106,49 @@ def test_without_filter(spark, rows, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_pairs(df).collect() == [] and near_duplicates(df).collect() == []
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 500])
+def test_classes(spark, rows, block, monkeypatch):
+    """A row for each row, with its class and the number of all its links, copies among them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = rows + [(300 + i, rows[3][1]) for i in range(70)]
+    links = {i: set() for i in range(len(rows))}
+    numbered = [(i if d is not None else None, text) for i, (d, text) in enumerate(rows)]
+    for a, b in brute(numbered):
+        links[a].add(b)
+        links[b].add(a)
+    least = {i: rows[i][0] for i in links}
+    for _ in range(6):
+        for a, bs in links.items():
+            least[a] = min([least[a], *(least[b] for b in bs)]) if bs else least[a]
+    got = sorted((tuple(r) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted(((rows[i][0], least[i], len(v)) for i, v in links.items()), key=str)
+
+
+def test_classes_of_documents(spark, sf_dir):
+    from telar.llm.queries import ORACLE_SQL, QUERIES
+    from tests.oracle import connect
+
+    got = sorted(tuple(r) for r in QUERIES["op4_ngram_jaccard_join"](spark, sf_dir).collect())
+    assert got == sorted(connect(sf_dir).sql(ORACLE_SQL["op4_ngram_jaccard_join"]).fetchall())
+    assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_order_follows_counts(spark):
+    """What more texts share than LEAST comes after all that fewer share, however its words are spread."""
+    texts = [f"all rights reserved a{i} b{i} c{i}" for i in range(jaccard_join.LEAST + 1)] + [f"some more words d{i} e{i} f{i}" for i in range(jaccard_join.LEAST)]
+    order = jaccard_join._order(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 3)
+    keys = list(order.keys(pa.array(["all rights reserved", "some more words", *texts])))
+    often, seldom = (int(k[0]) for k in keys[:2])
+    assert all(int(k[-1]) == often for k in keys[2 : 3 + jaccard_join.LEAST])
+    assert all(int(v) >> 56 < often >> 56 for k in [*keys[3 + jaccard_join.LEAST :], keys[1]] for v in k) and seldom >> 56 < often >> 56
+
+
+def test_copies_are_compared_once(spark):
+    """The sets of a class of copies meet others once, not once a copy."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base)) for i in range(50)] + [(100 + i, " ".join(base[: 90 + i % 2])) for i in range(50)]
+    sets, comps = jaccard_join._gathered(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 0.5)
+    assert sets.count() == 100 and sets.filter("keys is not null").count() == 3
+    assert {tuple(r)[1:] for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()} == {(0, 99)}
