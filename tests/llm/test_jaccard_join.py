@@ -152,3 +152,11 @@ def test_copies_are_compared_once(spark):
     sets, comps = jaccard_join._gathered(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 0.5)
     assert sets.count() == 100 and sets.filter("keys is not null").count() == 3
     assert {tuple(r)[1:] for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()} == {(0, 99)}
+
+
+def test_near_duplicates_of_several_texts(spark):
+    """The pipeline's stage takes documents: one with two texts connects what is like either; copies make one row each."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a), (7, a), (3, b), (9, "else"), (None, a)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [(5, 3), (7, 3)]
