@@ -31,6 +31,11 @@ PART, TIMES = 1 << 22, 4
 COUNTED = 16 << 20
 #: N-grams of more sets than this link them by a star, others by pairs.
 HOT = 64
+#: N-grams of a part that two sets of a crowd share at least to be linked without counting their n-grams of other parts,
+#: and sets of a crowd.
+SURE, CROWD = 3, 8
+#: Parts whose trees of links are merged at once.
+TREES = 8
 #: Bytes of a Bloom filter of candidates that may be broadcast; beyond, all sets are exchanged.
 BLOOM_LIMIT = 32 << 20
 #: N-grams of the sets that a task compares with as many others.
@@ -319,7 +324,10 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast, parts: int) -> Data
     """(short, comp): the sets that may be similar to another, and the connected components of those that may be.
 
     Sets that share an n-gram of their prefixes are linked if so many of these as a similar pair needs are shared, or if
-    one of them is shared by more than HOT sets, whose pairs are not listed.
+    one of them is shared by more than HOT sets, whose pairs are not listed. Of sets linked in a part it passes on
+    a tree, and none of their pairs: else a group of near copies would pass on the square of its sets once for each part.
+    So CROWD sets and more are linked as well if pairs that share in this part alone SURE n-grams, and more than its share
+    of those needed, connect them.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_of = rank.value
@@ -397,25 +405,44 @@ def _candidates(texts: DataFrame, t: float, rank: Broadcast, parts: int) -> Data
         out[:, 4] = np.add.reduceat(pairs[:, 4], first) if len(first) else 0
         return out
 
+    def rooted(node: np.ndarray, root: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The roots of x in a forest, whose nodes are sorted."""
+        if not len(node):
+            return x
+        at = np.minimum(np.searchsorted(node, x), len(node) - 1)
+        return np.where(node[at] == x, root[at], x)
+
     def link(table: pa.Table) -> Iterator[pa.RecordBatch]:
         # a pair counted over all pieces of a part is passed on once
         pieces = table["piece"].to_numpy()
         a, b, pairs = zip(*[joined(table.take(np.flatnonzero(pieces == q))) for q in np.unique(pieces).tolist()])
         a, b, pairs = np.concatenate(a), np.concatenate(b), summed(np.concatenate(pairs))
+        loops = np.unique(a[a == b])
+        need = _needed(pairs[:, 2], pairs[:, 3], t)
+        sure = pairs[:, 4] >= np.minimum(need, np.maximum(SURE, np.ceil(need / parts) + 1))
+        node, root = forest(pairs[sure, 0], pairs[sure, 1])
+        roots, below = np.unique(root, return_counts=True)
+        sure &= (pairs[:, 4] >= need) | np.isin(rooted(node, root, pairs[:, 0]), roots[below >= CROWD - 1])
+        a, b = forest(np.concatenate([a, pairs[sure, 0]]), np.concatenate([b, pairs[sure, 1]]))
+        pairs = pairs[rooted(a, b, pairs[:, 0]) != rooted(a, b, pairs[:, 1])]
+        a, b = np.concatenate([a, loops]), np.concatenate([b, loops])
         if len(a):
-            loops = np.unique(a[a == b])
-            a, b = forest(a, b)
-            a, b = np.concatenate([a, loops]), np.concatenate([b, loops])
-            # stars need no counting, and stay spread
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(mix(a[:1].astype(np.uint64))[0] % np.uint64(1024))], pa.int32()), *[pa.array([planes(x)]) for x in (a, b)], pa.array([b""]), pa.array([b""])], names=["part", "a", "b", "counts", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - table["part"][0].as_py() // TREES], pa.int32()), *[pa.array([planes(x)]) for x in (a, b)], pa.array([b""]), pa.array([b""])], names=["part", "a", "b", "counts", "sizes"])
         part = (mix(pairs[:, 0].astype(np.uint64) * np.uint64(3) + pairs[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         rows = [(q, *x) for q, x in _packed(part, parts, [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), pairs[:, 4].astype(np.uint32), pairs[:, 2:4].astype(np.uint32)], planes)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["part", "a", "b", "counts", "sizes"])
 
     def keep(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        a, b = unpacked(table, "a", np.int64), unpacked(table, "b", np.int64)
-        if table["part"][0].as_py() >= 0:
+        if table["part"][0].as_py() < 0:
+            a, b, loops = (np.zeros(0, np.int64) for _ in range(3))
+            for x, y in zip(*(table[c].to_pylist() for c in "ab")):
+                x, y = whole(x, np.int64), whole(y, np.int64)
+                loops = np.union1d(loops, x[x == y])
+                a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
+            a, b = np.concatenate([a, loops]), np.concatenate([b, loops])
+        else:
+            a, b = unpacked(table, "a", np.int64), unpacked(table, "b", np.int64)
             count, n = unpacked(table, "counts", np.uint32).astype(np.int64), unpacked(table, "sizes", np.uint32).reshape(-1, 2).astype(np.int64)
             order = np.lexsort((b, a))
             a, b, count, n = a[order], b[order], count[order], n[order]

@@ -160,3 +160,21 @@ def test_near_duplicates_of_several_texts(spark):
     rows = [(5, a), (5, b), (7, a), (7, a), (3, b), (9, "else"), (None, a)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, got)) == [(5, 3), (7, 3)]
+
+
+def test_groups_pass_on_trees(spark, monkeypatch):
+    """A group of near copies passes on fewer links than it has pairs, and stays whole."""
+    passed, old = [], jaccard_join.grouped
+
+    def grouped(df, keys, fn, schema):
+        out = old(df, keys, fn, schema)
+        if schema.endswith("counts binary, sizes binary"):
+            passed.extend(int.from_bytes(r[0][:8], "little") for r in out.select("a").collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "grouped", grouped)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[: 6 * i] + [f"n{i}"] + base[6 * i + 1 :])) for i in range(60)] + [(100, "another text"), (101, "another text")]
+    got = {r[0]: r[1] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {**{i: 0 for i in range(1, 60)}, 101: 100}
+    assert 59 <= sum(passed) < 60 * 59 / 2
