@@ -549,7 +549,7 @@ def checkpoint_filter(spark, sf_dir):
 
 @query("SELECT text, min(doc_id // 100) AS batch FROM documents GROUP BY text")
 def stream_dedup_batches(spark, sf_dir):
-    """A file stream of documents, batch by batch, keeps each text once; the batch that brought it is the first that has it."""
+    """A file stream of documents, in whatever order its files come, passes on a text where no earlier file had it in as early a batch of ids; its batch is its first."""
     import tempfile
     import uuid
 
@@ -562,8 +562,8 @@ def stream_dedup_batches(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.mode("overwrite").parquet(f"{root}/in")
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    append_new(stream, "text", f"{root}/out", f"{root}/history", f"{root}/state", stop_after_empty=1 << 30)
-    return spark.read.parquet(f"{root}/out").groupBy("text").agg(F.min(F.floor(F.col("doc_id") / 100)).alias("batch"))
+    append_new(stream.select("text", F.expr("doc_id div 100").alias("first")), "text", f"{root}/out", f"{root}/history", f"{root}/state", stop_after_empty=1 << 30, order="first")
+    return spark.read.parquet(f"{root}/out").groupBy("text").agg(F.min("first").alias("batch"))
 
 
 from telar.plans import goldens  # noqa: E402, F401  (registers its queries)

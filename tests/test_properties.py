@@ -66,3 +66,14 @@ def test_stream(spark, tmp_path):
     assert append_new(stream(), "text", str(tmp_path / "out"), str(tmp_path / "h"), str(tmp_path / "c")) >= 1
     assert {r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "b", "c"}
     assert distinct_stream(stream(), ["text"]).isStreaming
+
+
+def test_stream_of_files_in_any_order(spark, tmp_path):
+    """Eight files, each of which has the first batch of one of eight texts: whichever comes first, it is wrong for seven."""
+    from telar.plans.catalogue import QUERIES
+
+    for i in range(8):
+        rows = [(100 * ((i + j) % 8 + 10 * j - 1) + 7, f"text {j}") for j in range(8)] + [(None, "text 0"), (100 * i + 300, None)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    got = {r["text"]: r["batch"] for r in QUERIES["stream_dedup_batches"](spark, str(tmp_path)).collect()}
+    assert got == {None: 3} | {f"text {j}": max(0, 10 * j - 1) for j in range(8)}  # -93 // 100 is 0, as in the SQL
