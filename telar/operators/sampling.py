@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 
@@ -80,14 +81,26 @@ def round_robin(df: DataFrame, order: str, values: list[str], name: str) -> Data
 def split(df: DataFrame, group: str, key: list[str], seed: str, share: float = 0.9) -> DataFrame:
     """df with side: by group, the first floor(share * n) distinct keys in hashed order are train, the others val.
 
-    All rows of a key are on one side. Keys are ranked within their group; where a group is too large for one task, split_hashed decides by
-    the hash alone.
+    All rows of a key are on one side. Keys with a null count in n, come last, and their rows are left out, as are those without a group.
+    Nothing is ranked but the keys of one of 65,536 ranges of the hash in each group, that in which train ends: distinct keys (texts by
+    their SHA-256) are counted by range, and the last key of train is sent to all, one row a group.
     """
-    keys = df.select(group, *key).distinct()
+    h, last = hashed(seed, *map(F.col, key)), F.struct("_h", *key)
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    rows = df.filter(F.col(group).isNotNull()).withColumn("_h", F.when(whole, h)).withColumn("_range", F.shiftright("_h", 16))
+    short = [F.unhex(F.sha2(F.col(k), 256)).alias(f"_{i}") if df.schema[k].dataType == StringType() else F.col(k).alias(f"_{i}") for i, k in enumerate(key)]
+    counts = rows.select(group, "_range", *short).distinct().groupBy(group, "_range").agg(F.count("*").alias("_c"))
     by = Window.partitionBy(group)
-    ranked = keys.withColumn("_r", F.row_number().over(by.orderBy(hashed(seed, *map(F.col, key)), *key))).withColumn("_n", F.count("*").over(by))
-    side = F.when(F.col("_r") <= F.floor(F.col("_n") * share), "train").otherwise("val")
-    return df.join(ranked.select(group, *key, side.alias("side")), [group, *key])
+    end = F.least(F.floor(F.sum("_c").over(by) * share), F.coalesce(F.sum(F.when(F.col("_range").isNotNull(), F.col("_c"))).over(by), F.lit(0)))
+    ends = counts.withColumn("_end", end).withColumn("_sum", F.sum("_c").over(by.orderBy(F.asc_nulls_last("_range"))))
+    ends = ends.filter("_range is not null and _sum >= _end and _sum - _c < _end").select(group, "_range", (F.col("_end") - F.col("_sum") + F.col("_c")).alias("_place"))
+    near = rows.join(F.broadcast(ends), [group, "_range"]).select(group, "_place", "_h", *key).distinct()
+    cut = near.withColumn("_r", F.row_number().over(by.orderBy("_h", *key))).filter("_r = _place").select(group, last.alias("_last"))
+    out = rows.filter(whole).join(F.broadcast(cut), group, "left")
+    side = F.when((F.col("_h") < F.col("_last._h")) | ((F.col("_h") == F.col("_last._h")) & (last <= F.col("_last"))), "train").otherwise("val")
+    return out.select(group, *key, *[c for c in df.columns if c not in (group, *key)], side.alias("side"))
 
 
 def split_hashed(df: DataFrame, key: list[str], seed: str, percent: int = 90) -> DataFrame:

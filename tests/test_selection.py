@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,39 @@ def test_entry_points_without_operators(monkeypatch):
     monkeypatch.setattr(entry, "_there", lambda name: False)
     assert "pipeline" not in entry.queries() and not any(k.startswith("op") and k[2:3].isdigit() for k in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def most_read(spark, df):
+    """Bytes that any one task of the query takes from exchanges."""
+    sc, name = spark.sparkContext, f"read-{id(df)}"
+    sc.setJobGroup(name, name)
+    df.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, most = sc._jsc.sc().statusStore(), 0
+    for job in sc.statusTracker().getJobIdsForGroup(name):
+        for stage in sc.statusTracker().getJobInfo(job).stageIds:
+            tasks = store.taskList(stage, 0, 1000)
+            for metrics in (tasks.apply(i).taskMetrics() for i in range(tasks.size())):
+                if metrics.isDefined():
+                    read = metrics.get().shuffleReadMetrics()
+                    most = max(most, read.localBytesRead() + read.remoteBytesRead())
+    sc.setJobGroup("", "")
+    return most
+
+
+def test_split_has_no_task_that_reads_a_group(spark):
+    text = F.concat(*[F.md5(F.concat_ws("|", "id", F.lit(i))) for i in range(10)])
+    rows = spark.range(20_000).select("id", F.lit("en").alias("g"), text.alias("text"))  # 6.4 MB of one group
+    assert most_read(spark, sampling.split(rows, "g", ["text"], "split")) < 1_500_000
+
+
+def test_split_ranks_nulls_last_and_small_groups(spark):
+    rows = [(g, t) for g, n in (("a", 1), ("b", 2), ("c", 9), ("d", 10), ("e", 37)) for t in [*map(str, range(n)), None, "0"]] + [("f", None), (None, "x"), ("h", "y")]
+    want = {}
+    for g in "abcdefh":
+        at = {t: int(hashlib.md5(f"split|{t}".encode()).hexdigest()[:8], 16) for h, t in rows if h == g and t is not None}
+        n = len(at) + any(t is None for h, t in rows if h == g)
+        want |= {(g, t): "train" if i < n * 9 // 10 else "val" for i, t in enumerate(sorted(at, key=lambda t: (at[t], t)))}
+    got = sampling.split(spark.createDataFrame(rows, "g string, text string"), "g", ["text"], "split").collect()
+    assert {(r["g"], r["text"]): r["side"] for r in got} == want
+    assert len(got) == sum(g is not None and t is not None for g, t in rows)
